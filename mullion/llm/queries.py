@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mullion.functions.paths import normal_path
 from mullion.functions.records import digest, phash_bits, split_name
-from mullion.llm import components, grouping, overlap, pack, tokens
+from mullion.llm import components, grouping, overlap, pack, sentences, tokens
 from mullion.scale import Scratch
 
 
@@ -128,6 +128,10 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * capacity[F.col("spec_id").cast("long")]), 6))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split_sentences(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -138,6 +142,7 @@ QUERIES = {
     "p6_round_trip": p6_round_trip,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
 }
 
 _PATH = r"nullif(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '^[\s\x{{00A0}}\x{{3000}}]+|[\s\x{{00A0}}\x{{3000}}]+$', '', 'g'), '[/\\]+', '/', 'g'), '^(\./)+', ''), '')"

@@ -1,0 +1,395 @@
+"""Sentence boundaries across languages and scripts.
+
+Method: a linear-chain model tags every character as boundary (a sentence ends after it) or inside, decoded by Viterbi.
+Characters at which no sentence can end have the tag inside for certain, so that the chain is evaluated at the others
+only: runs of stops with the closing marks after them and, in Thai, blanks between letters. Weights are trained here, by
+the averaged structured perceptron on composed paragraphs (sentence_seed); Thai text has its stops stripped there.
+
+Blank lines and line ends before list items end a unit for certain; a unit that is no prose is one sentence.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mullion.llm.sentence_seed import paragraphs
+
+#: Composed paragraphs to train on, and passes over them.
+TRAINING_PARAGRAPHS, EPOCHS = 8000, 6
+
+STOPS = ".!?…。！？｡।॥؟．‼⁇⁈⁉۔"
+OPENERS = {"(": ")", "（": "）", "[": "]", "【": "】", "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "｢": "｣", '"': '"'}
+CLOSERS = set(")）]】”“»」』｣\"’'")
+BRACKETS = set("(（[【")
+#: An opener counts only if it is closed within so many characters of its unit.
+REACH = 600
+
+_SPACE = r"[^\S\n\r\u0085  ]"
+_END = r"(?:\r\n|[\n\r\u0085  ])"
+_PARAGRAPH = re.compile(rf"{_END}(?:{_SPACE}*{_END})+")
+_LINE = re.compile(_END)
+_ITEM = re.compile(r"\s*(?:([-*•‣◦▪·])|\(?(\d{1,3}|[٠-٩]{1,3}|[०-९]{1,3}|[a-z])([.)）、]))(?=\s)")
+_HEAD = re.compile(r"\s*(?:[-*•‣◦▪·#]+|\(?(?:\d+(?:\.\d+)*|[٠-٩]+|[०-९]+)[.)）]?)(?=\s)")
+_THAI = r"[ก-ฺเ-๎]"
+_MARK = re.compile(rf"[{re.escape(STOPS)}]+|[(（\[【“”„«»「」『』｢｣\")）\]】]|(?<={_THAI})\s+(?={_THAI})")
+_TOKEN = re.compile(r"[^\s\"“”«»„(（\[「『｢,;:，、：；]+$")
+_CLAUSE = re.compile(r"[;,:!?]|\.\s")
+_UNSPACED = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f]{4}|[\w)][.!?]['\")]?[A-Z\u0400-\u042f]\w")
+_SIGNS = regex.compile(r"[\p{P}\p{S}]")
+_MARKS = regex.compile(r"\p{M}{5}")
+_WORD = re.compile(r"[\w'’-]+")
+
+
+def units(text: str) -> list[tuple[int, int]]:
+    """Spans of paragraphs and list items, without outer white space; empty ones are left out."""
+    out, at = [], 0
+    for m in [*_PARAGRAPH.finditer(text), None]:
+        end = m.start() if m else len(text)
+        out += _items(text, at, end)
+        at = m.end() if m else end
+    spans = []
+    for a, b in out:
+        piece = text[a:b]
+        a += len(piece) - len(piece.lstrip())
+        b -= len(piece) - len(piece.rstrip())
+        if a < b:
+            spans.append((a, b))
+    return spans
+
+
+def _items(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """A paragraph cut before its list items.
+
+    Bullets always begin an item. A number does so only where it starts the paragraph's list or goes on from the item
+    before; other numbers at a line's start come from line breaks within prose.
+    """
+    lines = [a, *(m.end() for m in _LINE.finditer(text, a, b))]
+    if len(lines) == 1:
+        return [(a, b)]
+    cuts, last = [], None
+    numbers = []
+    for i in lines:
+        m = _ITEM.match(text, i, b)
+        numbers.append((m.group(1), m.group(2), m.group(3)) if m else None)
+    for k, i in enumerate(lines):
+        m = numbers[k]
+        if not m:
+            continue
+        bullet, number, style = m
+        if bullet:
+            cuts.append(i)
+            continue
+        value = int(number) if number.isdecimal() else ord(number) - 96
+        goes_on = last is not None and last == (value - 1, style)
+        begins = value == 1 and any(n and n[1] and n[2] == style and (int(n[1]) if n[1].isdecimal() else ord(n[1]) - 96) == 2 for n in numbers[k + 1 :])
+        if goes_on or begins or k == 0:
+            last = (value, style)
+            if k:
+                cuts.append(i)
+    return list(zip([a, *cuts], [*cuts, b]))
+
+
+def is_prose(piece: str) -> bool:
+    """Whether a unit has words: not so if it is mostly one run without blanks that no script writes, or signs.
+
+    Scripts without blanks are told by their letters; a run of combining marks on one letter is no word either.
+    """
+    if len(piece) < 40:
+        return True
+    words = piece.split()
+    solid = sum(map(len, words))
+    longest = max(words, key=len)
+    if len(longest) > 60 and 2 * len(longest) > solid and not _UNSPACED.search(longest):
+        return False
+    return len(_SIGNS.findall(piece)) <= 0.35 * solid and not _MARKS.search(piece)
+
+
+def _script(c: str) -> str:
+    if c < "ɐ":
+        return "latin"
+    if "Ѐ" <= c <= "ԯ":
+        return "cyrillic"
+    if "؀" <= c <= "ۿ":
+        return "arabic"
+    if "ऀ" <= c <= "ॿ":
+        return "deva"
+    if "฀" <= c <= "๿":
+        return "thai"
+    if "぀" <= c <= "鿿" or "ｦ" <= c <= "ﾟ":
+        return "cjk"
+    return "other"
+
+
+def _next_class(text: str, k: int, b: int, close_of: dict[int, int]) -> tuple[str, str]:
+    """Class of what follows at k, and the word there."""
+    if k >= b:
+        return "end", ""
+    c = text[k]
+    if c in BRACKETS:
+        j = close_of.get(k, -1)
+        return ("aside" if j > 0 and text[j - 1] in STOPS else "bracket"), ""
+    if c in "¿¡":
+        return "inverted", ""
+    if c in "“„«「『｢\"":
+        return "quote", ""
+    if c in ",;:，、：；،؛":
+        return "comma", ""
+    if c in "—–-":
+        return "dash", ""
+    if c.isdigit():
+        return "digit", ""
+    m = _WORD.match(text, k, b)
+    word = m.group() if m else ""
+    if c.isalpha():
+        s = _script(c)
+        if s in ("latin", "cyrillic"):
+            if c.isupper():
+                return ("letter" if len(word) == 1 else "caps" if word.isupper() and len(word) > 1 else "upper"), word.lower()
+            if any(x.isupper() for x in word):
+                return "upper", word.lower()
+            return ("lletter" if len(word) == 1 else "lower"), word
+        return s, ""
+    return "other", ""
+
+
+def _token_class(tok: str) -> str:
+    if not tok:
+        return "none"
+    if tok[-1].isdigit() and tok.replace(".", "").replace(",", "").replace("٫", "").isdigit():
+        return "num"
+    if len(tok) == 1:
+        return "one"
+    if "_" in tok or "/" in tok or any(c.isdigit() for c in tok):
+        return "code"
+    if "." in tok or "-" in tok:
+        return "dotted"
+    return "short" if len(tok) <= 3 else "long"
+
+
+def candidates(text: str, a: int, b: int) -> list[tuple[int, list[str]]]:
+    """The places in a unit at which a sentence may end, each with its features."""
+    head = _HEAD.match(text, a, b)
+    start = head.end() if head else a
+    piece = text[a:b]
+    low = "low" if not any(map(str.isupper, piece)) and "latin" == _script(piece[0]) and piece.isascii() is not None and any("a" <= c <= "z" for c in piece) else ""
+    out: list[tuple[int, list[str]]] = []
+    close_of: dict[int, int] = {}
+    stack: list[tuple[str, str, int]] = []
+    done = start
+    marks = list(_MARK.finditer(text, start, b))
+    # Matching closers first, so that an opener that is never closed does not count.
+    waiting: list[tuple[str, int]] = []
+    for m in marks:
+        c = m.group()
+        if c in OPENERS and not (c == '"' and waiting and waiting[-1][0] == '"') and not (c == "“" and waiting and waiting[-1][0] == "„"):
+            waiting.append((c, m.start()))
+        elif c in CLOSERS:
+            for i in range(len(waiting) - 1, -1, -1):
+                if c in OPENERS[waiting[i][0]]:
+                    if m.start() - waiting[i][1] <= REACH:
+                        close_of[waiting[i][1]] = m.start()
+                    del waiting[i:]
+                    break
+    opener_of = {j: i for i, j in close_of.items()}
+    for m in marks:
+        i, j = m.span()
+        if i < done:
+            continue
+        c = text[i]
+        if i in close_of:
+            k = i - 1
+            while k >= start and text[k].isspace():
+                k -= 1
+            p = text[k] if k >= start else ""
+            where = "start" if not p or p in STOPS or (p in CLOSERS and k - 1 >= start and text[k - 1] in STOPS) or (p in ")）”」" and p and out and out[-1][0] == k + 1) else "colon" if p in ":：" else "comma" if p in ",，、،" else "mid"
+            stack.append((c, where, i))
+            continue
+        if i in opener_of:
+            while stack and stack.pop()[2] != opener_of[i]:
+                pass
+            continue
+        if c not in STOPS:
+            if c.isspace():
+                out.append((i, ["thai", "thai-in" if stack else "thai-out"]))
+            continue
+        k, closed = j, []
+        while k < b:
+            q = k
+            if text[q].isspace() and q + 1 < b and text[q + 1] == "»" and q + 1 in opener_of:
+                q += 1
+            if q in opener_of:
+                o = opener_of[q]
+                entry = next((e for e in stack if e[2] == o), None)
+                while stack and stack.pop()[2] != o:
+                    pass
+                closed.append(entry)
+                k = q + 1
+            elif text[k] in STOPS and closed:
+                k += 1
+            elif text[k] in "’'" and k > j - 1 and not (k + 1 < b and text[k + 1].isalpha()):
+                k += 1
+            else:
+                break
+        done = k
+        g = k
+        while g < b and text[g].isspace():
+            g += 1
+        gap = "none" if g == k else "break" if "\n" in text[k:g] or "\r" in text[k:g] else "blank"
+        follows, word = _next_class(text, g, b, close_of)
+        left = text[max(start, i - 40) : i]
+        t = _TOKEN.search(left)
+        tok = t.group().lower() if t else ""
+        before = _WORD.findall(left[: t.start()]) if t else []
+        p2 = before[-1].lower() if before else ""
+        tc = _token_class(tok)
+        script = _script(left[-1]) if left else "none"
+        run = text[i:j]
+        kind = "dots" if "…" in run or len(run) > 1 and set(run) == {"."} else "." if run == "." else "!?" if run[-1] in "!?！？؟‼⁇⁈⁉" else "stop"
+        if script == "cjk" or kind == "stop" or run[-1] in "！？":
+            tok, tc, p2 = "", "cjk" if script == "cjk" else tc, ""
+        f = [kind, f"{kind}|{follows}", f"{kind}|{follows}|{gap}", f"{kind}|{tc}|{follows}", f"{kind}|{tc}|{follows}|{gap}{low}", f"{kind}|{script}", f"{kind}|{script}|{follows}"]
+        if stack:
+            f += [f"in {'bracket' if stack[-1][0] in BRACKETS else 'quote'}", f"in {stack[-1][1]}|{kind}", "in"]
+        if closed and closed[-1]:
+            o, where, _ = closed[-1]
+            shape = "bracket" if o in BRACKETS else "quote"
+            f += [f"{shape}|{where}", f"{shape}|{where}|{follows}", f"{shape}|{where}|{follows}{low}", f"{shape}|{where}|{script}", f"{shape}|{where}|{kind}"]
+        elif kind in (".", "dots"):
+            if tc in ("short", "one", "dotted", "long") and len(tok) <= 8:
+                f += [f"t={tok}", f"t={tok}|{follows}", f"t={tok}|{follows}{low}"]
+            if tc == "num":
+                f += [f"{kind}|p={p2}|{follows}", f"{kind}|p={p2}"]
+            if kind == "dots":
+                f += [f"dots|{follows}{low}", f"dots|{tc}|{low}|{p2}", f"dots|{script}|{gap}"]
+            if tc in ("short", "one", "dotted"):
+                # Few words since the clause began: an abbreviation there rarely ends a sentence.
+                clause = len(_CLAUSE.split(left)[-1].split())
+                f += [f"{tc}|{clause <= 3}|{follows}{low}", f"t={tok}|{clause <= 3}|{follows}{low}"]
+                if len(word) <= 3:
+                    f.append(f"t={tok}|w={word}")
+            if tc == "one" or tc == "short":
+                f.append(f"2={p2} {tok}")
+        if kind != "dots" and low and follows in ("lower", "lletter"):
+            f.append(f"{low}|{tc}|{gap}")
+        out.append((k, f))
+    return out
+
+
+class Tagger:
+    """Weights of the chain: of features for the tag boundary, and of pairs of tags by how near two places are."""
+
+    def __init__(self, weights: dict[str, float], pairs: dict[tuple[int, int, bool], float]):
+        self.weights, self.pairs = weights, pairs
+
+    def decode(self, places: list[tuple[int, list[str]]]) -> list[int]:
+        """Viterbi: the best tags (1 boundary, 0 inside) of the places."""
+        w, pair = self.weights, self.pairs
+        best, back, last = [0.0, 0.0], [], -99
+        for n, (at, f) in enumerate(places):
+            score = 0.0
+            for x in f:
+                score += w.get(x, 0.0)
+            near = at - last < 6
+            row, new = [], []
+            for tag in (0, 1):
+                s0 = best[0] + (pair.get((0, tag, near), 0.0) if n else 0.0)
+                s1 = best[1] + (pair.get((1, tag, near), 0.0) if n else -1e9)
+                row.append(int(s1 > s0))
+                new.append((s1 if s1 > s0 else s0) + score * tag)
+            back.append(row)
+            best, last = new, at
+        tag, out = int(best[1] > best[0]), []
+        for row in reversed(back):
+            out.append(tag)
+            tag = row[tag]
+        return out[::-1]
+
+
+def train(examples: list[tuple[str, list[int]]], epochs: int = EPOCHS) -> Tagger:
+    """The averaged structured perceptron over composed paragraphs with known ends."""
+    data = []
+    for text, ends in examples:
+        known = set(ends)
+        places = [p for p in candidates(text, 0, len(text)) if p[0] < len(text)]
+        # A place of Thai stands before its blank, where the sentence ends.
+        data.append((places, [int(at in known) for at, _ in places]))
+    w: dict[str, float] = {}
+    total: dict[str, float] = {}
+    pairs: dict[tuple[int, int, bool], float] = {}
+    pair_total: dict[tuple[int, int, bool], float] = {}
+    tagger, step = Tagger(w, pairs), 1
+    for _ in range(epochs):
+        for places, gold in data:
+            guess = tagger.decode(places)
+            if guess != gold:
+                last = -99
+                for n, ((at, f), g, y) in enumerate(zip(places, guess, gold)):
+                    if g != y:
+                        d = 1.0 if y else -1.0
+                        for x in f:
+                            w[x] = w.get(x, 0.0) + d
+                            total[x] = total.get(x, 0.0) + d * step
+                    if n and (g, guess[n - 1]) != (y, gold[n - 1]):
+                        near = at - last < 6
+                        for key, d in (((gold[n - 1], y, near), 1.0), ((guess[n - 1], g, near), -1.0)):
+                            pairs[key] = pairs.get(key, 0.0) + d
+                            pair_total[key] = pair_total.get(key, 0.0) + d * step
+                    last = at
+            step += 1
+    return Tagger({x: v - total[x] / step for x, v in w.items()}, {x: v - pair_total[x] / step for x, v in pairs.items()})
+
+
+@lru_cache(maxsize=2)
+def trained(n: int = TRAINING_PARAGRAPHS) -> Tagger:
+    return train(paragraphs(n))
+
+
+def spans(text: str, tagger: Tagger) -> list[tuple[int, int]]:
+    """The sentences of a text as offsets in code points, end exclusive, without outer white space."""
+    out = []
+    for a, b in units(text):
+        places = [p for p in candidates(text, a, b) if p[0] < b] if is_prose(text[a:b]) else []
+        tags = tagger.decode(places) if places else []
+        for (at, _), tag in [*zip(places, tags), ((b, []), 1)]:
+            if not tag:
+                continue
+            while a < at and text[a].isspace():
+                a += 1
+            e = at
+            while e > a and text[e - 1].isspace():
+                e -= 1
+            if a < e:
+                out.append((a, e))
+            a = at
+    return out
+
+
+def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id long, start_at long, end_at long): one row per sentence of every document.
+
+    Null, empty and blank texts have no rows; the sentences of a text cover all its other characters. Texts are taken
+    whole. Rows that repeat a doc_id give their own rows. Other columns are never read. The model is trained once on the
+    driver, from a fixed number of composed paragraphs, and sent to the executors.
+    """
+    model = trained()
+    held = documents.sparkSession.sparkContext.broadcast((model.weights, model.pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(*held.value)
+        for batch in batches:
+            ids, starts, ends = [], [], []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for a, b in spans(x, tagger) if x else ():
+                    ids.append(i)
+                    starts.append(a)
+                    ends.append(b)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "start_at", "end_at"])
+
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, start_at long, end_at long")
