@@ -92,13 +92,14 @@ def _word(lang: str, r: random.Random, least: int = 1) -> str:
 
 def _invented(lang: str, r: random.Random) -> str:
     """A sentence of invented words, with the ends that occur: words, numbers after any word, names, times."""
-    first = r.choice([_word(lang, r, 2).capitalize(), _word(lang, r).capitalize(), r.choice("AIY") if lang == "en" else _word(lang, r, 2).capitalize(), str(r.randint(2, 60))])
+    first = r.choice([_word(lang, r, 2).capitalize(), _word(lang, r).capitalize(), r.choice("AIY") if lang == "en" else _word(lang, r, 2).capitalize(), str(r.randint(2, 60)), str(r.randint(2, 60))])
     words = " ".join(_word(lang, r) for _ in range(r.randint(1, 5)))
     if r.random() < 0.08:
         first, words = first.upper(), words.upper()
     name = r.choice(NAMES)
     ends = [
         lambda: _word(lang, r),
+        lambda: _word(lang, r)[:3],
         lambda: _word(lang, r),
         lambda: f"{_word(lang, r)} {r.randint(1, 90)}",
         lambda: f"{_word(lang, r)} {r.randint(1, 90)}",

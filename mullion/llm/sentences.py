@@ -11,6 +11,7 @@ Blank lines and line ends before list items end a unit for certain; a unit that
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,7 @@ _HEAD = re.compile(r"\s*(?:[-*•‣◦▪·#]+|\(?(?:\d+(?:\.\d+)*|[٠-٩]+|[
 _THAI = r"[ก-ฺเ-๎]"
 _MARK = re.compile(rf"[{re.escape(STOPS)}]+|[(（\[【“”„«»「」『』｢｣\")）\]】]|(?<={_THAI})\s+(?={_THAI})")
 _TOKEN = re.compile(r"[^\s\"“”«»„(（\[「『｢,;:，、：；]+$")
-_CLAUSE = re.compile(r"[;,:!?]|\.\s")
+_CLAUSE = re.compile(r"[;,:!?]|\.[\"”“»)’]*\s|(?<=[a-z])\.(?=[A-Z])")
 _UNSPACED = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f]{4}|[\w)][.!?]['\")]?[A-Z\u0400-\u042f]\w")
 _SIGNS = regex.compile(r"[\p{P}\p{S}]")
 _MARKS = regex.compile(r"\p{M}{5}")
@@ -245,7 +246,7 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, list[str]]]:
         follows, word = _next_class(text, g, b, close_of)
         left = text[max(start, i - 40) : i]
         t = _TOKEN.search(left)
-        tok = t.group().lower() if t else ""
+        tok = unicodedata.normalize("NFC", t.group().lower()) if t else ""
         before = _WORD.findall(left[: t.start()]) if t else []
         p2 = before[-1].lower() if before else ""
         tc = _token_class(tok)
