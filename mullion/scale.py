@@ -103,3 +103,36 @@ def any_of(conditions: Sequence[Column]) -> Column:
     for c in conditions:
         out = out | c
     return out
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], scratch: Scratch, parts: int = 32) -> DataFrame:
+    """Adds running sums over one total order, without one task for all rows.
+
+    Rows are range-partitioned by the order and kept; each range gets the totals of the ranges before it, of which there
+    are at most `parts`, and sums within the range are a window per range.
+    """
+    cols = {f"_s{i}": c for i, c in enumerate(sums.values())}
+    kept = scratch.keep(df.select("*", *[c.alias(n) for n, c in cols.items()]).repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = kept.groupBy("_p").agg(*[F.sum(n).alias(n) for n in cols])
+    starts = totals.select(F.col("_p").alias("_q"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}b") for n in cols])
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = kept.join(F.broadcast(starts), F.col("_p") == F.col("_q"))
+    return out.select(*df.columns, *[(F.sum(n).over(inside) + F.col(f"{n}b")).alias(name) for n, name in zip(cols, sums)])
+
+
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], scratch: Scratch, name: str = "n") -> DataFrame:
+    """Adds the 1-based number of each row within its key in the given order, nulls first, without one task per key.
+
+    All rows are numbered over (key, order) by ranges; a key's first number is then taken off. As ranked(), but in true
+    order; `order` has to be unique within a key for a repeatable result.
+    """
+    cols = [F.col(c) for c in (*key, *order)]
+    run = running_sums(df, cols, {name: F.lit(1).cast("long")}, scratch)
+    if not key:
+        return run
+    starts = run.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(name).alias("_first"))
+    on = F.lit(True)
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return run.join(starts, on).withColumn(name, F.col(name) - F.col("_first") + 1).select(*df.columns, name)
