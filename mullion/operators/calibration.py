@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mullion.operators.metrics import softmax
 from mullion.scale import Scratch, running_sums
 
 
@@ -69,9 +68,11 @@ def fit_temperature(pred: DataFrame, rounds: int = 4, low: float = 0.05, high: f
     """
     import math
 
+    top = F.array_max("logits")
+    rows = pred.where("y_true is not null").select(F.transform(F.array(top), lambda m: F.transform("logits", lambda x: x - m))[0].alias("d"), "y_true").select("d", F.element_at("d", F.col("y_true") + 1).alias("own"))
     for _ in range(rounds):
         grid = [low * (high / low) ** (i / (points - 1)) for i in range(points)]
-        loss = pred.where("y_true is not null").agg(*[F.avg(nll(F.col("y_true"), softmax(F.col("logits"), t))).alias(f"t{i}") for i, t in enumerate(grid)]).head()
+        loss = rows.agg(*[F.avg(F.ln(F.aggregate("d", F.lit(0.0), (lambda t: lambda s, x: s + F.exp(x / F.lit(t)))(t))) - F.col("own") / F.lit(t)).alias(f"t{i}") for i, t in enumerate(grid)]).head()
         values = [loss[f"t{i}"] for i in range(points)]
         if any(v is None or math.isnan(v) for v in values):
             raise ValueError("no rows to fit on")

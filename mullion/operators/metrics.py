@@ -188,7 +188,6 @@ def mean_sd(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFram
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     """Probabilities of an array of logits, shifted by their largest."""
     t = F.lit(float(temperature)) if not isinstance(temperature, Column) else temperature
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp((x - top) / t))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    shifted = F.transform(F.array(F.array_max(logits)), lambda top: F.transform(logits, lambda x: F.exp((x - top) / t)))[0]
+    # The sum is a variable of the finishing step, not an expression that every element would evaluate anew.
+    return F.transform(F.array(shifted), lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x, lambda total: F.transform(e, lambda x: x / total)))[0]
