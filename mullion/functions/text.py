@@ -21,7 +21,7 @@ def first_alias(form: Column, aliases: Sequence[tuple[str, str]]) -> Column:
     """The name of the first alias, in list order, that stands in a label form as whole words; else an empty text."""
     found = F.lit("")
     for alias, name in reversed(list(aliases)):
-        found = F.when(form.rlike(rf"\b{re.escape(alias)}\b"), name).otherwise(found)
+        found = F.when(form.rlike(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(alias)}(?![\p{{L}}\p{{N}}_])"), name).otherwise(found)
     return found
 
 
@@ -100,8 +100,11 @@ def cited(texts: Sequence[Column], pattern: str, group: int = 0) -> Column:
 
 def scan(text: Column, patterns: dict[str, str]) -> Column:
     """All matches of named patterns as an array of (name, found)."""
-    parts = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, n=n: F.struct(F.lit(n).alias("name"), m.alias("found"))) for n, p in patterns.items()]
-    return F.flatten(F.array(*parts))
+
+    def hits(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(name).alias("name"), m.alias("found")))
+
+    return F.flatten(F.array(*[hits(n, p) for n, p in patterns.items()]))
 
 
 def numbers(text: Column) -> Column:
