@@ -43,6 +43,8 @@ def near_hashes(a: DataFrame, b: DataFrame | None, threshold: int, strategy: str
     wanted = d.between(1, threshold)
     if b is None:
         wanted = wanted & (F.col("ha") < F.col("hb"))
+    if threshold == 0:
+        return left.join(right, wanted & (F.col("ha") == F.col("hb"))).select("ha", "hb", d.alias("distance"))
     if strategy == "auto":
         strategy = "blocked" if right.limit(BLOCKED_ROWS + 1).count() <= BLOCKED_ROWS else "banded"
     if strategy == "blocked":

@@ -54,10 +54,10 @@ def orphans(
     """
     refs = references.where(F.col(key).isNotNull())
     held = parents.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(since).alias("_since"), F.col(until).alias("_until")).distinct()
-    words = bloom_words(held, "_key")
-    tested = refs.withColumn("_word", _word(F.col(key))).join(F.broadcast(words), F.col("_word") == F.col("word"), "left")
-    passed = F.coalesce(F.col("bits").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.lit(False))
-    tested = tested.withColumn("_maybe", passed).drop("_word", "word", "bits")
+    words = bloom_words(held, "_key").withColumnsRenamed({"word": "_held_word", "bits": "_held_bits"})
+    tested = refs.withColumn("_word", _word(F.col(key))).join(F.broadcast(words), F.col("_word") == F.col("_held_word"), "left")
+    passed = F.coalesce(F.col("_held_bits").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.lit(False))
+    tested = tested.withColumn("_maybe", passed).drop("_word", "_held_word", "_held_bits")
     proven = tested.where(~F.col("_maybe")).drop("_maybe")
     live = F.col(at).isNull() | ((F.col("_since").isNull() | (F.col("_since") <= F.col(at))) & (F.col("_until").isNull() | (F.col(at) < F.col("_until"))))
     verified = tested.where("_maybe").drop("_maybe").join(held, (F.col(key) == F.col("_key")) & live, "left_anti")

@@ -38,7 +38,7 @@ def predictions(spark: SparkSession, sf: str, run: int = 0) -> DataFrame:
     y = (F.col("l_quantity").cast("int") % 5).alias("y_true")
     guess = F.when((F.col("l_partkey") + run * 7) % 10 < 6 + run, F.col("y_true")).otherwise(((F.col("l_suppkey") + run) % 5).cast("int"))
     logits = F.array(*[(F.col("l_partkey") * (j + 3) + F.col("l_suppkey") * 7 + j * j * 11) % 17 / 4.0 + F.when(F.col("y_true") == j, 1.5).otherwise(0.0) for j in LABELS])
-    rows = li.select(F.expr("((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey").alias("item_id"), y, "l_partkey", "l_suppkey")
+    rows = li.select(F.expr("(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 5 + cast(l_quantity as int) % 5").alias("item_id"), y, "l_partkey", "l_suppkey")
     rows = rows.select("item_id", "y_true", guess.alias("y_pred"), (((F.col("l_partkey") * 13 + F.col("l_suppkey")) % 997 + 1) / 997.0).alias("conf"), logits.alias("logits"))
     return rows.withColumn("correct", F.col("y_true") == F.col("y_pred"))
 
@@ -47,7 +47,7 @@ def pred_sql(run: int = 0) -> str:
     logits = ", ".join(f"(l_partkey * {j + 3} + l_suppkey * 7 + {j * j * 11}) % 17 / 4.0 + case when y = {j} then 1.5 else 0 end" for j in LABELS)
     return f"""(select *, y_true = y_pred as correct from (select item_id, y as y_true, cast(case when (l_partkey + {run * 7}) % 10 < {6 + run} then y else (l_suppkey + {run}) % 5 end as integer) as y_pred,
     ((l_partkey * 13 + l_suppkey) % 997 + 1) / cast(997 as double) as conf, [cast(x as double) for x in [{logits}]] as logits
-    from (select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as item_id, cast(l_quantity as integer) % 5 as y, l_partkey, l_suppkey from lineitem)))"""
+    from (select (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 5 + cast(l_quantity as integer) % 5 as item_id, cast(l_quantity as integer) % 5 as y, l_partkey, l_suppkey from lineitem)))"""
 
 
 P = pred_sql()
@@ -262,12 +262,12 @@ def _(spark, sf):
 def runs_of(spark, sf):
     out = None
     for r in range(3):
-        p = predictions(spark, sf, r).select(F.lit(f"m{r}").alias("run"), "item_id", "y_true", "y_pred", "correct")
+        p = predictions(spark, sf, r).select(F.lit(f"m{r}").alias("run"), "item_id", "y_true", "y_pred", "correct").distinct()
         out = p if out is None else out.unionAll(p)
     return out
 
 
-R = "(" + " union all ".join(f"select 'm{r}' as run, item_id, y_true, y_pred, correct from {pred_sql(r)}" for r in range(3)) + ")"
+R = "(" + " union all ".join(f"select distinct 'm{r}' as run, item_id, y_true, y_pred, correct from {pred_sql(r)}" for r in range(3)) + ")"
 DIS = f"(select a.run as run_a, b.run as run_b, count(*) as n, count(*) filter (where a.correct and not b.correct) as b, count(*) filter (where b.correct and not a.correct) as c from {R} a join {R} b on a.item_id = b.item_id and a.run < b.run group by 1, 2)"
 PV = "case when b + c = 0 then 1.0 else least(1.0, 2 * list_sum([exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)) for k in range(0, least(b, c) + 1)])) end"
 
