@@ -8,44 +8,84 @@ substrings at the allowed positions are matched with the segments, and each cand
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mullion.functions.records import hamming
 
-#: A 64-bit hash within 6 bits shares at least 2 of 8 bytes; two bytes are 16 bits to match on, where 7 segments of 9
-#: bits, of which one must match, would pass 128 times as many candidates per segment.
-SEGMENTS, MUST_MATCH = 8, 2
+#: Segments tried beyond the k+1 that the distance needs: with k+1+x segments, 1+x of them must match.
+EXTRA = range(0, 6)
+#: Cost of comparing a candidate beside that of moving a row of a segment, for the choice among them.
+CANDIDATE_COST = 0.1
 
 
-def _byte_pairs(bits: str) -> F.Column:
-    """All pairs of bytes of a 64-bit hash, each with the pair's number in one int."""
-    keys = []
-    for c, (i, j) in enumerate(combinations(range(SEGMENTS), MUST_MATCH)):
-        keys.append(f"cast(({c}L << 16) | (shiftright({bits}, {8 * i}) & 255L) << 8 | (shiftright({bits}, {8 * j}) & 255L) as int)")
-    return F.explode(F.expr(f"array({', '.join(keys)})"))
+def choose_segments(n_train: int, n_eval: int, bits: int) -> int:
+    """How many segments to cut 64 bits into, so that rows moved and candidates compared together cost least.
 
+    More segments give more combinations per hash, but longer keys and so fewer chance candidates, whose number grows
+    as the product of both sides. Every choice finds the same pairs.
+    """
 
-def bit_segment_join(train: DataFrame, evaluation: DataFrame, bits: int = 6) -> DataFrame:
-    """Pairs (h_train, h_eval, distance) of distinct 64-bit hashes that differ in at most `bits` of at most 6 bits.
-
-    The segment join for strings of one length under substitutions alone: the allowed position of a segment is its
-    own, and the band of the dynamic programme has width 0, so that verification counts differing bits. Hashes are
-    longs in column h; nulls are left out and repeats count once, so that copies never meet in a segment's bucket. A
-    pair is given only where its first two equal bytes meet, hence once.
+    def cost(s: int) -> float:
+        must = s - bits
+        combos = comb(s, must)
+        return combos * (n_train + n_eval) + CANDIDATE_COST * combos * n_train * n_eval / 2 ** (64 * must / s)
+
+    return min((bits + 1 + x for x in EXTRA if bits + 1 + x <= 16), key=cost)
+
+
+def _keys(h: str, segments: int, must: int) -> F.Column:
+    """One row per combination of `must` segments: its mask of segments in the high bits, their contents below."""
+    cuts = [64 * i // segments for i in range(segments + 1)]
+    masks = [sum(1 << i for i in c) for c in combinations(range(segments), must)]
+    if len(masks) <= 100:
+        keys = []
+        for m in masks:
+            parts, at = [f"({m}L << 44)"], 0
+            for i in range(segments):
+                if m >> i & 1:
+                    width = cuts[i + 1] - cuts[i]
+                    parts.append(f"((shiftrightunsigned({h}, {cuts[i]}) & {(1 << width) - 1}L) << {at})")
+                    at += width
+            keys.append(f"({' | '.join(parts)})")
+        return F.explode(F.expr(f"array({', '.join(keys)})"))
+    # Too many for generated code: the same by a loop over the segments.
+    content = f"(shiftrightunsigned({h}, element_at(array({', '.join(map(str, cuts))}), i + 1)) & ((1L << {-(-64 // segments)}) - 1) & ((1L << (element_at(array({', '.join(map(str, cuts))}), i + 2) - element_at(array({', '.join(map(str, cuts))}), i + 1))) - 1))"
+    loop = f"aggregate(sequence(0, {segments - 1}), 0L, (a, i) -> if((shiftright(m, i) & 1L) = 1L, (a << {-(-64 // segments)}) | {content}, a))"
+    return F.explode(F.expr(f"transform(array({', '.join(f'{m}L' for m in masks)}), m -> (m << 44) | {loop})"))
+
+
+def bit_segment_join(train: DataFrame, evaluation: DataFrame, bits: int = 6, segments: int | None = None) -> DataFrame:
+    """Pairs (h_train, h_eval, distance) of distinct 64-bit hashes that differ in at most `bits` bits.
+
+    The segment join for strings of one length under substitutions alone: the allowed position of a segment is its own,
+    and the band of the dynamic programme has width 0, so that verification counts differing bits. With s segments at
+    least s - bits of them are equal in a wanted pair; hashes meet on every combination of so many, and a pair is kept
+    only where its first equal segments meet, hence once. The number of segments follows from the counted hashes.
+
+    Hashes are longs in column h; nulls are left out and repeats count once, so that copies never meet in a bucket.
     """
-    if not 0 <= bits <= SEGMENTS - MUST_MATCH:
-        raise ValueError(f"bits must be from 0 to {SEGMENTS - MUST_MATCH}")
-    t = train.select("h").where("h is not null").distinct().select(F.col("h").alias("h_train"), _byte_pairs("h").alias("segment"))
-    e = evaluation.select("h").where("h is not null").distinct().select(F.col("h").alias("h_eval"), _byte_pairs("h").alias("segment"))
-    near = t.join(e, "segment").where(hamming(F.col("h_train"), F.col("h_eval")) <= bits)
-    x = "(h_train ^ h_eval)"
-    first = "CASE " + " ".join(
-        f"WHEN {' AND '.join(f'(shiftright({x}, {8 * k}) & 255L) {"=" if k in (i, j) else "<>"} 0' for k in range(j + 1))} THEN {c}"
-        for c, (i, j) in enumerate(combinations(range(SEGMENTS), MUST_MATCH))
-    ) + " END"
-    once = near.where(F.expr(f"shiftright(segment, 16) = {first}"))
+    if not 0 <= bits <= 12:
+        raise ValueError("bits must be from 0 to 12")
+    t, e = train.select("h").where("h is not null").distinct(), evaluation.select("h").where("h is not null").distinct()
+    if segments is None:
+        n = train.agg(F.approx_count_distinct("h")).head()[0], evaluation.agg(F.approx_count_distinct("h")).head()[0]
+        segments = choose_segments(max(1, n[0]), max(1, n[1]), bits)
+    must = segments - bits
+    if not 1 <= must <= 16 - bits or -(-64 // segments) * must > 44:
+        raise ValueError("no such number of segments")
+    t = t.select(F.col("h").alias("h_train"), _keys("h", segments, must).alias("key"))
+    e = e.select(F.col("h").alias("h_eval"), _keys("h", segments, must).alias("key"))
+    near = t.join(e, "key").where(hamming(F.col("h_train"), F.col("h_eval")) <= bits)
+    cuts = [64 * i // segments for i in range(segments + 1)]
+    equal = " | ".join(f"if((shiftrightunsigned(h_train ^ h_eval, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L) = 0, {1 << i}L, 0L)" for i in range(segments))
+    mask = near.select("h_train", "h_eval", F.expr(f"({equal})").alias("equal"), F.expr("shiftrightunsigned(key, 44)").alias("m"))
+    for step in (1, 2, 4, 8):
+        # All bits up to the combination's highest, one doubling at a time.
+        mask = mask.withColumn("upto", F.expr(f"{'m' if step == 1 else 'upto'} | shiftrightunsigned({'m' if step == 1 else 'upto'}, {step})"))
+    once = mask.where("(equal & upto) = m")
     return once.select("h_train", "h_eval", hamming(F.col("h_train"), F.col("h_eval")).alias("distance"))
 
 

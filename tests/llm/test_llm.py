@@ -98,6 +98,32 @@ def test_cross_split_pairs_against_brute_force(spark):
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("segments", [None, 7, 8, 9, 10, 12])
+def test_bit_join_finds_the_same_with_any_number_of_segments(spark, segments):
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(8)]
+
+    def some(n):
+        out = []
+        for _ in range(n):
+            h = r.choice(base)
+            for _ in range(r.randint(0, 5)):
+                h ^= 1 << r.randint(0, 63)
+            out.append(h)
+        return out
+
+    a, b = some(60), some(60)
+    frame = lambda x: spark.createDataFrame([(signed(h),) for h in x] + [(None,)], "h long")
+    got = [tuple(x) for x in overlap.bit_segment_join(frame(a), frame(b), 6, segments).collect()]
+    want = {(signed(x), signed(y), bin(x ^ y).count("1")) for x in a for y in b if bin(x ^ y).count("1") <= 6}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_segments_grow_with_the_input():
+    few, many = overlap.choose_segments(400_000, 100_000, 6), overlap.choose_segments(10**10, 10**9, 6)
+    assert 7 <= few < many <= 12
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
