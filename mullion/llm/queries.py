@@ -86,8 +86,11 @@ def p5_assigned(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for table in KEYED_TABLES:
         scratch = Scratch(spark)
-        rows = grouping.related_groups(_keyed(spark, sf, table), ["key"], scratch)
-        groups = rows.groupBy(F.coalesce("group", F.concat(F.lit("row|"), F.coalesce("row_key", F.lit("")))).alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
+        # Rows are counted by key first, so that a leaf with a third of all rows is one row in every join.
+        own = F.when(F.col("key").isNull(), F.concat(F.lit("row|"), F.coalesce("row_key", F.lit("")))).alias("own")
+        counted = _keyed(spark, sf, table).groupBy("key", own).agg(F.count(F.lit(1)).alias("c"))
+        rows = grouping.related_groups(scratch.keep(counted, "counted"), ["key"], scratch)
+        groups = rows.groupBy(F.coalesce("group", "own").alias("group_id")).agg(F.sum("c").alias("n"))
         done = grouping.assign_splits(scratch.keep(groups, "groups"), shares[table])
         done = done.select(F.lit(table).alias("table_name"), "group_id", F.col("n").alias("n_rows"), "assigned")
         out = done if out is None else out.unionAll(done)
