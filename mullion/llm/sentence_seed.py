@@ -35,14 +35,14 @@ PLAIN = {
         "Is the label “spp.” read in the file?", "Only Drovena sp. B was found on the stalk.", "Only Drovena sp. K grew on the lower leaf.", "It is still called Drovena sp.", "The cause is an unnamed Drovena sp.",
         "We weighed stalks, roots, pods, etc.", "The box held twine, tags, etc., and one knife.", "The sum grew by {d}; std. dev. was {d}.", "A mark of .{n} was given to {w}-B{n}.", "Version v{n}.{d} of the list was read, i.e. the one with {n} beds.",
         "See Fig. C{n} and Tab. {n} for the stalk.", "Yield of ca. {n} % vs. Batch D was low (p = {d}).", "The bed {w} cv. Orlano gave pods at pH {d}.", "The seeds came from cv. Orlano.", "The note names a bed that is lost in list v{n}.{n}.",
-        "DO NOT MIX BEDS {n}–{n} of the store!", "The path is raw/colour/beet_{n}.JPG, as given in sec. {d} above.", "It's the old bed, isn't it?", "The best score was {d} on seed {n} (see Eq. {n})!", "The batch of {w} was left (cv. Orlano).", "Is it “dry” or “wet”?", "The string <|pad|> is text.", "They wrote 'leave it' twice.",
+        "DO NOT MIX BEDS {n}–{n} of the store!", "The path is raw/colour/beet_{n}.JPG, as given in sec. {d} above.", "It's the old bed, isn't it?", "The best score was {d} on seed {n} (see Eq. {n})!", "The batch of {w} was left (cv. Orlano).", "Is it “dry” or “wet”?", "The string <|pad|> is text.", "They wrote 'leave it' twice.", "No. {n} was lost.", "Fig. {n} shows the stalk.",
     ],
     "de": [
         "Das Beet {n} wurde in der Woche gejätet.", "Wurde die Reihe {n} gezählt?", "Die Wurzeln waren ca. {n} cm lang, vgl. Abb. {n}.", "Am {n}. Juni standen schon {n} Halme.", "Am {n}. Mai war Frost.", "Die {n}. Zählung ergab {d} Stück!", "Die {n}. Wiederholung misslang.", "Der {n}. Versuch war gut.",
-        "Im Heft stand: „Der Stiel ist hohl.“", "„Ist der Stiel hohl?“, fragte der Gärtner.", "(Siehe Tab. {n} im Heft.)", "Wir zählten Halme, Wurzeln, Körner usw.", "Der Abgleich war am {n}.{n}.{n} gegen {n}.{n} Uhr.", "Nr. {n} und Nr. {n} sind vom selben Beet.", "Bzgl. der Reihe {n} gilt der bzw. die letzte Eintrag.", "Die Sorte z. B. {w} blieb klein.", "Das gilt für Beet {n} (Sorte {w}).", "Wie auf Beet {n}.", "Nach ca. {n} Tagen war alles trocken.", "Es fehlt ein Bild der Rübe!",
+        "Im Heft stand: „Der Stiel ist hohl.“", "„Ist der Stiel hohl?“, fragte der Gärtner.", "(Siehe Tab. {n} im Heft.)", "Wir zählten Halme, Wurzeln, Körner usw.", "Der Abgleich war am {n}.{n}.{n} gegen {n}.{n} Uhr.", "Nr. {n} und Nr. {n} sind vom selben Beet.", "Bzgl. der Reihe {n} gilt der bzw. die letzte Eintrag.", "Die Sorte z. B. {w} blieb klein.", "Das gilt für Beet {n} (Sorte {w}).", "Wie auf Beet {n}.", "Nach ca. {n} Tagen war alles trocken.", "Es fehlt ein Bild der Rübe!", "Nr. {n} steht am Rand.", "Nr. {n} und Nr. {n} fehlen.", "Ca. {n} Halme fehlen.",
     ],
     "fr": [
-        "Le carré {n} a été bêché deux fois.", "Quelle surprise !", "Faut-il jeter le lot n° {n} ?", "Faut-il compter encore ?", "« La tige est-elle creuse ? » demanda le jardinier.", "« Le bord est-il mouillé ? » demanda la gardienne.", "La fiche dit : « Le bord est mouillé. »", "La note précise : « La racine est saine. »", "(Voir la page {n} du cahier.)", "Le carnet du {n} mai… n'a pas servi.", "On a pesé tiges, racines, graines, etc.", "Le cv. {w} n'a rien donné, p. ex. sur le carré {n}.", "La note passe de {d} à {d}, c.-à-d. rien.", "Les trous faisaient env. {d} mm, cf. fig. {n}.", "La rouille n'a pas dépassé la ligne {n}.", "Aujourd'hui le lot est perdu (cv. {w}).", "Il reste env. {n} jours.",
+        "Le carré {n} a été bêché deux fois.", "Quelle surprise !", "Faut-il jeter le lot n° {n} ?", "Faut-il compter encore ?", "« La tige est-elle creuse ? » demanda le jardinier.", "« Le bord est-il mouillé ? » demanda la gardienne.", "La fiche dit : « Le bord est mouillé. »", "La note précise : « La racine est saine. »", "(Voir la page {n} du cahier.)", "Le carnet du {n} mai… n'a pas servi.", "On a pesé tiges, racines, graines, etc.", "Le cv. {w} n'a rien donné, p. ex. sur le carré {n}.", "La note passe de {d} à {d}, c.-à-d. rien.", "Les trous faisaient env. {d} mm, cf. fig. {n}.", "La rouille n'a pas dépassé la ligne {n}.", "Aujourd'hui le lot est perdu (cv. {w}).", "Il reste env. {n} jours.", "Env. {n} jours passent.",
     ],
     "es": [
         "La era {n} se cavó dos veces.", "¿Y qué más?", "¿Se contó la fila {n}?", "¡La fila {n} está vacía!", "La nota dice: «El tallo está hueco.»", "«¿Está hueco el tallo?», preguntó el jardinero.", "(Véase la pág. {n} del cuaderno.)", "El lote núm. {n} sigue lejos, pero... nadie lo busca.", "Se pesaron tallos, raíces, granos, etc.", "El cv. {w} no dio nada, p. ej. en la era {n}.", "Los huecos medían aprox. {d} mm, v. fig. {n}.", "La nota bajó de {d} a {d}.", "Faltan aprox. {n} días (cv. {w}).", "La roya no pasó de la línea {n}.",
