@@ -99,7 +99,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orphan references per table, field and month of the reference; month is null where the time is unknown."""
-    rows = _orphan_rows(spark, sf).select("table_name", "row_id", "field_name", F.date_format("at", "yyyy-MM").alias("month")).distinct()
+    rows = _orphan_rows(spark, sf).select("table_name", "row_id", "field_name", F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "yyyy-MM").alias("month")).distinct()
     return rows.groupBy("table_name", "field_name", "month").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
