@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mullion.scale import Scratch, running_sums
@@ -135,3 +135,30 @@ def area_under(curve: DataFrame, x: str = "coverage", y: str = "risk") -> DataFr
     area = F.aggregate(F.sequence(F.lit(1), F.size("p") - 1), F.lit(0.0), lambda s, i: s + (F.col("p")[i]["x"] - F.col("p")[i - 1]["x"]) * (F.col("p")[i]["y"] + F.col("p")[i - 1]["y"]) / 2)
     width = F.element_at("p", -1)["x"] - F.col("p")[0]["x"]
     return one.select(F.when(F.size("p") > 1, F.try_divide(area, width)).alias("area"))
+
+
+def interpolated(curves: DataFrame, by: str, x: str, y: str, grid: int = 96) -> DataFrame:
+    """(by, point, x, y): each key's curve of few points, linearly between them, at the shares 1/grid to 1.
+
+    Each segment of a curve gives the grid points that lie in it (from its start, up to and without its end, the last
+    one with it); no grid is joined with ranges. Points outside a curve have no rows.
+    """
+    w = Window.partitionBy(by).orderBy(x)
+    pts = curves.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, x).agg(F.avg(y).alias(y))
+    seg = pts.select(by, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"), F.lead(x, 2).over(w).isNull().alias("last")).where("x1 is not null")
+    first = F.greatest(F.ceil(F.col("x0") * grid), F.lit(1))
+    end = F.col("x1") * grid
+    upto = F.least(F.when(F.col("last"), F.floor(end)).otherwise(F.ceil(end) - 1), F.lit(grid))
+    rows = seg.where(first <= upto).select("*", F.explode(F.sequence(first, upto)).alias("point"))
+    at = F.col("point") / grid
+    return rows.select(by, F.col("point").cast("int").alias("point"), at.alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * (at - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("y"))
+
+
+def tiers(value: Column, edges_: Sequence[float], names: Sequence[str]) -> Column:
+    """The name of the right-closed bin of a value between rising edges; the first bin has its lower edge too."""
+    if len(edges_) != len(names) + 1 or list(edges_) != sorted(edges_):
+        raise ValueError("one more edge than names, rising")
+    out = F.lit(None).cast("string")
+    for name, hi in reversed(list(zip(names, edges_[1:]))):
+        out = F.when(value <= hi, name).otherwise(out)
+    return F.when(value >= edges_[0], out)

@@ -69,3 +69,22 @@ def reconcile_sets(fresh: DataFrame, persisted: DataFrame, keys: Sequence[str])
 def multiset_shortfall(needed: DataFrame, held: DataFrame) -> DataFrame:
     """Rows of needed that held has too few of, repeats counted."""
     return needed.exceptAll(held)
+
+
+def order_breaks(df: DataFrame, ordinal: str, order: Sequence[str], scratch) -> DataFrame:
+    """Rows whose stored number is not their place in the wanted order: (order columns, ordinal, place)."""
+    from mullion.scale import numbered
+
+    return numbered(df.select(*order, ordinal), [], list(order), scratch, "place").where(F.col("place") != F.col(ordinal))
+
+
+def named_facts(facts: dict[str, DataFrame]) -> DataFrame:
+    """(name, value) from one-row tables, a row per column, as fact_column; a name that comes twice raises."""
+    names = [f"{k}_{c}" for k, df in facts.items() for c in df.columns]
+    if len(names) != len(set(names)):
+        raise ValueError("a fact has two values")
+    out = None
+    for k, df in facts.items():
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(f"{k}_{c}").alias("name"), F.col(c).cast("string").alias("value")) for c in df.columns])).alias("f")).select("f.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

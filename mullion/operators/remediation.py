@@ -62,3 +62,19 @@ def relabel_kinds(members: DataFrame, group: str, source: str, applied: str) ->
     j = by.join(own, (F.col(group) == F.col("_g")) & (F.col("applied") == F.col("_s")), "left")
     kind = F.when(F.col("applied").isNull() | ((F.col("n") == 1) & (F.col("applied") == F.col("one"))), "unchanged").when(F.col("_s").isNotNull(), "in_group").otherwise("outside_group")
     return j.select(group, kind.alias("kind"))
+
+
+def pair_verdicts(members: DataFrame, group: str, stored: str, decoded: str) -> DataFrame:
+    """(group, n, verdict): byte-identical members, re-encoded ones (equal only when decoded), or different ones."""
+    by = members.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(stored)).alias("s"), F.count_distinct(F.lower(decoded)).alias("d"))
+    verdict = F.when((F.col("s") == 0) | (F.col("d") == 0), "unknown").when(F.col("s") == 1, "byte-identical").when(F.col("d") == 1, "re-encoded").otherwise("different")
+    return by.select(group, "n", verdict.alias("verdict"))
+
+
+def minted(fresh: DataFrame, held: DataFrame, key: str, number: str, order: Sequence[str], scratch) -> DataFrame:
+    """Fresh rows that held lacks by key, numbered above held's highest number; no number is ever used twice."""
+    from mullion.scale import numbered
+
+    top = held.agg(F.coalesce(F.max(number), F.lit(0))).head()[0]
+    new = fresh.join(held.select(key), key, "left_anti")
+    return numbered(new, [], list(order), scratch, "_n").select(*new.columns, (F.col("_n") + F.lit(top)).alias(number))

@@ -109,3 +109,18 @@ def gate(checks: DataFrame) -> DataFrame:
 def shared_values(df: DataFrame, group: str, value: Column) -> DataFrame:
     """Values (as a rationale or a set of citations) that stand in several groups, which should have each its own."""
     return df.select(F.col(group).alias("g"), value.alias("value")).where("value is not null and value <> ''").groupBy("value").agg(F.count_distinct("g").alias("n_groups")).where("n_groups > 1")
+
+
+def before_reference(df: DataFrame, dim: DataFrame, key: str, at: str, reference: str) -> DataFrame:
+    """Rows that are dated before what they refer to, or refer to nothing known: (key, at, reference, problem)."""
+    d = dim.groupBy(F.col(key).alias("_k")).agg(F.min(reference).alias("_r"))
+    j = df.select(key, at).join(d, F.col(key) == F.col("_k"), "left")
+    problem = F.when(F.col("_k").isNull(), "no reference").when(F.col(at).isNull(), "no time").when(F.col(at) < F.col("_r"), "too early")
+    return j.select(key, at, F.col("_r").alias("reference"), problem.alias("problem")).where("problem is not null")
+
+
+def url_problem(url: Column, schemes: Sequence[str] = ("http", "https")) -> Column:
+    """Why a text is no citable address: missing, no address, or another scheme; null if it is one."""
+    bare = F.trim(F.coalesce(url, F.lit("")))
+    scheme = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://[^\s/]+", 1)
+    return F.when(bare == "", "missing").when(scheme == "", "no address").when(~F.lower(scheme).isin(list(schemes)), "scheme")

@@ -63,3 +63,31 @@ def hash_images(spark: SparkSession, root: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["relpath", "width", "height", "phash", "decoded_sha256"]).astype({"width": "Int32", "height": "Int32"})
 
     return rows.mapInPandas(run, "relpath string, width int, height int, phash string, decoded_sha256 string")
+
+
+def thumbnail(pixels: np.ndarray, n: int = 32) -> np.ndarray:
+    """n by n grey means of an image."""
+    grey = pixels[..., :3].mean(-1) if pixels.ndim == 3 else pixels
+    return _means(grey.astype(float), n)
+
+
+def likeness(a: np.ndarray, b: np.ndarray, differs: float = 60.0, doubtful: float = 30.0) -> str:
+    """different, doubtful or alike by the mean difference of two thumbnails."""
+    d = float(np.abs(thumbnail(a) - thumbnail(b)).mean())
+    return "different" if d > differs else "doubtful" if d > doubtful else "alike"
+
+
+def channel_histogram(pixels: np.ndarray, bins: int = 16) -> list[float]:
+    """Shares of the values of each channel in equal bins, one channel after the other."""
+    planes = pixels.reshape(-1, pixels.shape[-1]) if pixels.ndim == 3 else pixels.reshape(-1, 1)
+    out: list[float] = []
+    for k in range(planes.shape[1]):
+        h = np.bincount(planes[:, k].astype(np.int64) * bins // 256, minlength=bins)
+        out += (h / max(1, len(planes))).tolist()
+    return out
+
+
+def covered_share(mask: np.ndarray, within: np.ndarray | None = None) -> float | None:
+    """The share of marked pixels in an area (all of the image by default); null for an empty area."""
+    inside = np.ones(mask.shape, bool) if within is None else within.astype(bool) | mask.astype(bool)
+    return float((mask.astype(bool) & inside).sum() / inside.sum()) if inside.any() else None
