@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The filter has at most so many words of 64 bits, whatever the number of parents: 16 MB with their numbers.
-FILTER_WORDS = 1 << 20
-#: Bits set per key in its word.
-PROBES = 4
+#: The filter has at most so many words of 64 bits, whatever the number of parents: 32 MB when broadcast.
+MOST_WORDS = 1 << 22
+#: Words in one row of the broadcast table; a row's array is far smaller than as many rows.
+ROW_WORDS = 256
+#: Bits set per key in its word, and keys that a word is meant for: about one key in a hundred passes by chance.
+PROBES, KEYS_PER_WORD = 4, 5
 
 
-def _word(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit("word")), F.lit(FILTER_WORDS))
+def filter_words(n_keys: int) -> int:
+    """Words for so many keys: a power of two, up to the bound."""
+    return min(MOST_WORDS, max(ROW_WORDS, 1 << (max(1, n_keys) // KEYS_PER_WORD).bit_length()))
+
+
+def _word(key: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("word")), F.lit(words))
 
 
 def _mask(key: Column) -> Column:
@@ -25,13 +32,17 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def bloom_words(parents: DataFrame, key: str) -> DataFrame:
-    """A blocked Bloom filter of the keys as a table (word, bits) of at most FILTER_WORDS rows.
+def bloom_filter(parents: DataFrame, key: str, words: int) -> DataFrame:
+    """A blocked Bloom filter of the keys as (chunk, bits array<long>) of at most words / ROW_WORDS rows.
 
-    Each key sets PROBES bits in one 64-bit word; the words are an aggregate of bit_or, combined before the shuffle.
-    With more keys than the filter has room for, more references pass on to the exact join; none is ever lost.
+    Each key sets PROBES bits in one 64-bit word; words are an aggregate of bit_or, combined before the shuffle, then
+    laid side by side by chunk. With more keys than the filter has room for, more references pass on to the exact join;
+    none is ever lost.
     """
-    return parents.select(_word(F.col(key)).alias("word"), _mask(F.col(key)).alias("m")).groupBy("word").agg(F.bit_or("m").alias("bits"))
+    w = parents.select(_word(F.col(key), words).alias("word"), _mask(F.col(key)).alias("m")).groupBy("word").agg(F.bit_or("m").alias("bits"))
+    entry = F.struct((F.col("word") % ROW_WORDS).cast("int").alias("at"), "bits")
+    rows = w.groupBy(F.shiftright("word", ROW_WORDS.bit_length() - 1).alias("chunk")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    return rows.select("chunk", F.transform(F.sequence(F.lit(0), F.lit(ROW_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("bits"))
 
 
 def orphans(
@@ -53,11 +64,14 @@ def orphans(
     repeated parent rows are combined before.
     """
     refs = references.where(F.col(key).isNotNull())
-    held = parents.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(since).alias("_since"), F.col(until).alias("_until")).distinct()
-    words = bloom_words(held, "_key").withColumnsRenamed({"word": "_held_word", "bits": "_held_bits"})
-    tested = refs.withColumn("_word", _word(F.col(key))).join(F.broadcast(words), F.col("_word") == F.col("_held_word"), "left")
-    passed = F.coalesce(F.col("_held_bits").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.lit(False))
-    tested = tested.withColumn("_maybe", passed).drop("_word", "_held_word", "_held_bits")
+    held = parents.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(since).alias("_since"), F.col(until).alias("_until"))
+    words = filter_words(held.agg(F.approx_count_distinct("_key")).head()[0])
+    held = held.distinct()
+    rows = bloom_filter(held, "_key", words).withColumnsRenamed({"chunk": "_chunk", "bits": "_held_bits"})
+    tested = refs.withColumn("_word", _word(F.col(key), words))
+    tested = tested.join(F.broadcast(rows), F.shiftright("_word", ROW_WORDS.bit_length() - 1) == F.col("_chunk"), "left")
+    own = F.try_element_at("_held_bits", (F.col("_word") % ROW_WORDS).cast("int") + 1)
+    tested = tested.withColumn("_maybe", F.coalesce(own.bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.lit(False))).drop("_word", "_chunk", "_held_bits")
     proven = tested.where(~F.col("_maybe")).drop("_maybe")
     live = F.col(at).isNull() | ((F.col("_since").isNull() | (F.col("_since") <= F.col(at))) & (F.col("_until").isNull() | (F.col(at) < F.col("_until"))))
     verified = tested.where("_maybe").drop("_maybe").join(held, (F.col(key) == F.col("_key")) & live, "left_anti")

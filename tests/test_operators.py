@@ -269,3 +269,14 @@ def test_ranks_and_running_sums_with_a_hot_key(spark, scratch):
     for r in sorted(numbered(df, ["k"], ["i"], scratch).collect(), key=lambda r: r.i):
         n.setdefault(r.k, []).append(r.n)
     assert all(v == list(range(1, len(v) + 1)) for v in n.values())
+
+
+def test_bloom_filter_loses_no_key(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
+    words = references.filter_words(5000)
+    held = references.bloom_filter(keys, "key", words)
+    assert held.count() <= words // references.ROW_WORDS
+    probes = spark.range(10000).select("id", F.concat(F.lit("k"), "id").alias("key"))
+    out = references.orphans(probes.withColumn("at", F.lit(1)), keys.withColumn("since", F.lit(None).cast("int")).withColumn("until", F.lit(None).cast("int")))
+    assert sorted(r.id for r in out.collect()) == list(range(5000, 10000))
+    assert references.filter_words(10**12) == references.MOST_WORDS and references.filter_words(0) == references.ROW_WORDS
