@@ -1 +1 @@
-
+"""Column expressions: paths, record fields, texts and hashes."""

@@ -54,16 +54,20 @@ def canonical_id(prefix: Column | str, texts: dict[str, Column], numbers: dict[s
     return F.concat(head, F.lit("-"), F.substring(F.sha2(F.to_json(packed, {"ignoreNullFields": "false"}), 256), 1, digits))
 
 
-def set_digest(df: DataFrame, identity: Column, name: str = "digest", buckets_of: int = 2) -> DataFrame:
+def set_digest(df: DataFrame, identity: Column, name: str = "digest", levels: Sequence[int] = (4, 2)) -> DataFrame:
     """One row (n, digest): an order-free digest of a multiset of identities.
 
-    A tree of two levels: identities fall into 16**buckets_of buckets by their own digest; a bucket's digest is over its
-    sorted members, the whole over the buckets' digests in order. So no task holds all identities; a bucket holds its
-    share. Equal multisets, and only those, have equal digests. An empty set has the digest of an empty text.
+    A tree: identities fall into buckets by the first hex digits of their own digest; a bucket's digest is over its
+    sorted members. Buckets go into wider ones by fewer digits, and the whole is over the widest in order. So no task
+    holds all identities: with 4 digits a bucket of 10^10 identities has some 150,000. Equal multisets, and only those,
+    have equal digests. An empty set has the digest of an empty text.
     """
-    own = df.select(F.sha2(F.coalesce(identity, F.lit("")), 256).alias("h")).select(F.substring("h", 1, buckets_of).alias("b"), "h")
-    leaves = own.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"))
-    tops = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct("b", "d"))).alias("l"))
+    own = df.select(F.sha2(F.coalesce(identity, F.lit("")), 256).alias("d"), F.lit(1).cast("long").alias("n")).withColumn("b", F.col("d"))
+    for digits in levels:
+        members = F.array_sort(F.collect_list(F.struct("b", "d")))
+        own = own.groupBy(F.substring("b", 1, digits).alias("p")).agg(F.sum("n").alias("n"), members.alias("l"))
+        own = own.select(F.col("p").alias("b"), "n", F.sha2(F.array_join(F.transform("l", lambda x: x["d"]), "\n"), 256).alias("d"))
+    tops = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct("b", "d"))).alias("l"))
     return tops.select("n", F.sha2(F.array_join(F.transform("l", lambda x: x["d"]), "\n"), 256).alias(name))
 
 

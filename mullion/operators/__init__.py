@@ -1 +1 @@
-
+"""Operators on DataFrames; none of them knows a table of the queries."""

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mullion.scale import Scratch, running_sums
+
 
 @F.pandas_udf(T.DoubleType())
 def exact_p(b: pd.Series, c: pd.Series) -> pd.Series:
@@ -92,16 +94,18 @@ def consistency(diffs: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return one.withColumn("verdict", verdict)
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: the correlation of average ranks. Ranks come from counts per value, so ties cost nothing."""
+def spearman(df: DataFrame, x: str, y: str, scratch: Scratch) -> DataFrame:
+    """One row: the correlation of average ranks and the number of rows; rows with a null on either side are left out.
+
+    Ranks come from counts per value and running sums over ranges, so neither ties nor many values need one task.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
 
     def ranks(c: str, name: str) -> DataFrame:
-        by = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return by.select(c, (upto - (F.col("n") - 1) / 2).alias(name))
+        by = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        return running_sums(by, [F.asc(c)], {"upto": F.col("n")}, scratch).select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
 
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return rows.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return rows.join(ranks("_x", "_rx"), "_x").join(ranks("_y", "_ry"), "_y").agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def pairing_gaps(pred: DataFrame, run: str, item: str, label: str) -> DataFrame:

@@ -6,6 +6,9 @@ records are joined to the found pairs of values after. Rows with a null hash are
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +25,37 @@ def check_threshold(threshold: int, bits: int = 64) -> None:
         raise ValueError(f"threshold must be a whole number from 0 to {bits - 1}")
 
 
-def _bands(h: str, k: int) -> F.Column:
-    """k bands of a hash, each a long with the band's number in the low bits: some band of a near pair is equal."""
-    cuts = [64 * i // k for i in range(k + 1)]
-    parts = [f"((shiftrightunsigned({h}, {a}) & {((1 << (b - a)) - 1)}L) * {k} + {i})" for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    return F.explode(F.expr(f"array({', '.join(parts)})"))
+def bands_for(n_a: int, n_b: int, threshold: int) -> tuple[int, int]:
+    """(bands, equal): into how many bands to cut, and how many of them meet, for so many distinct hashes.
+
+    Of threshold + m bands a near pair has m equal. A larger m means more rows per hash and longer keys, so fewer chance
+    candidates: their number grows as the product of both sides, that of the rows as their sum.
+    """
+
+    def cost(m: int) -> float:
+        ways = comb(threshold + m, m)
+        return ways * (n_a + n_b) + 0.1 * ways * n_a * n_b / 2 ** (64 * m / (threshold + m))
+
+    m = min((m for m in range(1, 5) if comb(threshold + m, m) <= 250), key=cost, default=1)
+    return threshold + m, m
+
+
+def _met(h: str, cuts: list[int], masks: list[int]) -> F.Column:
+    """One row (mask, key) per combination of bands; the key is a hash of the bands' contents."""
+    rows = []
+    for mask in masks:
+        parts = [f"shiftrightunsigned({h}, {a}) & {(1 << (b - a)) - 1}L" for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if mask >> i & 1]
+        rows.append(f"named_struct('mask', {mask}, 'key', xxhash64({', '.join(parts)}))")
+    return F.explode(F.expr(f"array({', '.join(rows)})"))
 
 
 def near_hashes(a: DataFrame, b: DataFrame | None, threshold: int, strategy: str = "auto") -> DataFrame:
     """(ha, hb, distance) of distinct hashes with 1 <= distance <= threshold; with one table, ha < hb.
 
     strategy blocked: the smaller side is broadcast and every pair is compared within generated code; refused above
-    BROADCAST_ROWS. banded: hashes meet if one of threshold + 1 bands is equal, each pair is verified, and a pair is
-    given only by its first equal band, so nothing has to be made distinct. auto counts the smaller side and decides.
+    BROADCAST_ROWS. banded: hashes meet where enough of their bands are equal, and each pair is verified and given only
+    by its first equal bands, so nothing has to be made distinct. auto counts the right side and decides; the number of
+    bands follows the counts. All ways find the same pairs.
     """
     check_threshold(threshold)
     left = a.select(F.col("h").alias("ha")).where("ha is not null").distinct()
@@ -44,19 +65,24 @@ def near_hashes(a: DataFrame, b: DataFrame | None, threshold: int, strategy: str
     if b is None:
         wanted = wanted & (F.col("ha") < F.col("hb"))
     if threshold == 0:
-        return left.join(right, wanted & (F.col("ha") == F.col("hb"))).select("ha", "hb", d.alias("distance"))
+        return left.select("ha", F.col("ha").alias("hb"), F.lit(0).alias("distance")).where(F.lit(False))
     if strategy == "auto":
         strategy = "blocked" if right.limit(BLOCKED_ROWS + 1).count() <= BLOCKED_ROWS else "banded"
     if strategy == "blocked":
         if right.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
             raise ValueError("too many hashes to broadcast; take the banded strategy")
         return left.join(F.broadcast(right), wanted).select("ha", "hb", d.alias("distance"))
-    k = threshold + 1
-    cuts = [64 * i // k for i in range(k + 1)]
-    x = "(ha ^ hb)"
-    first = "CASE " + " ".join(f"WHEN (shiftrightunsigned({x}, {p}) & {((1 << (q - p)) - 1)}L) = 0 THEN {i}" for i, (p, q) in enumerate(zip(cuts, cuts[1:]))) + " END"
-    pairs = left.withColumn("band", _bands("ha", k)).join(right.withColumn("band", _bands("hb", k)), "band").where(wanted)
-    return pairs.where(F.expr(f"pmod(band, {k}) = {first}")).select("ha", "hb", d.alias("distance"))
+    counts = [max(1, x.agg(F.approx_count_distinct("h")).head()[0]) for x in (a, b if b is not None else a)]
+    n, m = bands_for(*counts, threshold)
+    cuts = [64 * i // n for i in range(n + 1)]
+    masks = [sum(1 << i for i in c) for c in combinations(range(n), m)]
+    pairs = left.select("ha", _met("ha", cuts, masks).alias("k")).select("ha", "k.*").join(right.select("hb", _met("hb", cuts, masks).alias("k")).select("hb", "k.*"), ["mask", "key"]).where(wanted)
+    # The first m equal bands of the pair, as a mask, one lowest bit after the other.
+    equal = " + ".join(f"if((shiftrightunsigned(ha ^ hb, {x}) & {(1 << (y - x)) - 1}L) = 0, {1 << i}L, 0L)" for i, (x, y) in enumerate(zip(cuts, cuts[1:])))
+    pairs = pairs.withColumn("rest", F.expr(equal)).withColumn("first", F.lit(0).cast("long"))
+    for _ in range(m):
+        pairs = pairs.withColumn("first", F.expr("first | (rest & -rest)")).withColumn("rest", F.expr("rest & (rest - 1)"))
+    return pairs.where("first = mask").select("ha", "hb", d.alias("distance"))
 
 
 def near_pairs(a: DataFrame, b: DataFrame | None, threshold: int, strategy: str = "auto") -> DataFrame:

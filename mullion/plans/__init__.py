@@ -1 +1 @@
-
+"""Queries by name with the SQL that checks them."""

@@ -398,7 +398,7 @@ RX = "(select l_quantity as x, l_extendedprice as y from lineitem)"
 
 @query("spearman_rank", f"select round(corr(rx, ry), 6) as rho, count(*) as n from (select rank() over (order by x) + (count(*) over (partition by x) - 1) / cast(2 as double) as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / cast(2 as double) as ry from {RX})")
 def _(spark, sf):
-    return rounded(inference.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"))
+    return rounded(inference.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", Scratch(spark)))
 
 
 @query("tolerance_breaks", "select o_orderkey, o_totalprice as value_a, o_totalprice + 1 as value_b from orders where o_orderkey % 997 = 5")

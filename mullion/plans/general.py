@@ -138,3 +138,9 @@ union all select kb, 'extra_records', '' from j where ka is null and kb is not n
     "p4_found": f"with {_P4_CASES} select distinct table_name, row_id, field_name from cases",
     "p4_counts": f"with {_P4_CASES} select table_name, field_name, strftime(t at time zone 'UTC', '%Y-%m') as month, count(*) as n_orphans from cases group by 1, 2, 3",
 }
+
+SQL["p3_claims"] = f"""
+with d as ({SQL["p3_found"]}), m as (select distinct relpath, shard_id from plantvillage),
+n as (select shard_id, count(distinct d.relpath) filter (where outcome = 'missing_records') as missing_records, count(distinct d.relpath) filter (where outcome = 'value_mismatches') as value_mismatches from d join m on d.relpath = m.relpath where outcome <> 'extra_records' group by 1),
+c as (select shard_id, arg_max((missing_records, value_mismatches), (run_at_utc, run_id)) as c from plantvillage_manifest_reconstruction group by 1)
+select coalesce(n.shard_id, c.shard_id) as shard_id, coalesce(missing_records, 0) as missing_records, coalesce(value_mismatches, 0) as value_mismatches, c[1] as claimed_missing, c[2] as claimed_mismatches from n full join c on n.shard_id = c.shard_id"""

@@ -282,7 +282,9 @@ def _(spark, sf):
     return p.select("pair_row_id", F.concat(F.lit("ndp-"), F.lpad(n, F.greatest(F.lit(2), F.length(n)), F.lit("0"))).alias("display_id"))
 
 
-@query("manifest_set_digest", f"select cast(sum(n) as bigint) as n, sha256(string_agg(d, chr(10) order by b)) as digest from (select substr(h, 1, 2) as b, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as d from (select sha256(concat_ws(chr(9), coalesce(relpath, ''), coalesce(split, ''), coalesce(class_label, ''), coalesce(sha256, ''))) as h from {M}) group by 1)")
+@query("manifest_set_digest", f"""select cast(sum(n) as bigint) as n, sha256(string_agg(d, chr(10) order by b)) as digest from (
+select substr(c, 1, 2) as b, sum(n) as n, sha256(string_agg(d, chr(10) order by c)) as d from (
+select substr(h, 1, 4) as c, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as d from (select sha256(concat_ws(chr(9), coalesce(relpath, ''), coalesce(split, ''), coalesce(class_label, ''), coalesce(sha256, ''))) as h from {M}) group by 1) group by 1)""")
 def _(spark, sf):
     return set_digest(manifest(spark, sf), joined(["relpath", "split", "class_label", "sha256"]))
 

@@ -99,7 +99,7 @@ def test_orphans_against_brute_force(spark):
 
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("strategy", ["blocked", "banded"])
-def test_near_pairs_against_brute_force(spark, seed, strategy):
+def test_near_pairs_against_brute_force(spark, monkeypatch, seed, strategy):
     r = random.Random(seed)
     base = [r.getrandbits(64) for _ in range(12)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -120,11 +120,17 @@ def test_near_pairs_against_brute_force(spark, seed, strategy):
     d = lambda x, y: bin(x ^ y).count("1")
     cross = sorted((i, j, d(x, y)) for i, x in a for j, y in b if 0 < d(x, y) <= t)
     assert sorted(rows(neardup.near_pairs(da, db, t, strategy))) == cross
+    if t and strategy == "banded":
+        for equal in (2, 3):
+            monkeypatch.setattr(neardup, "bands_for", lambda *_, m=equal: (t + m, m))
+            assert sorted(rows(neardup.near_pairs(da, db, t, strategy))) == cross
+        monkeypatch.undo()
     within = sorted((i, j, d(x, y)) for i, x in a for j, y in a if i < j and 0 < d(x, y) <= t)
     assert sorted(rows(neardup.near_pairs(da, None, t, strategy))) == within
 
 
 def test_near_threshold_is_checked(spark):
+    assert neardup.bands_for(1000, 1000, 6) == (7, 1) and neardup.bands_for(10**7, 10**7, 6)[1] > 1
     for bad in (-1, 64, True, 1.5):
         with pytest.raises(ValueError):
             neardup.check_threshold(bad)
