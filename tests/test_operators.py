@@ -286,3 +286,47 @@ def test_bloom_filter_loses_no_key(spark):
     out = references.orphans(probes.withColumn("at", F.lit(1)), keys.withColumn("since", F.lit(None).cast("int")).withColumn("until", F.lit(None).cast("int")))
     assert sorted(r.id for r in out.collect()) == list(range(5000, 10000))
     assert references.filter_words(10**12) == references.MOST_WORDS and references.filter_words(0) == references.ROW_WORDS
+
+
+def test_tiers_and_interpolation(spark):
+    df = spark.createDataFrame([(0.0,), (0.05,), (0.0501,), (1.01,), (2.0,), (-0.1,), (None,)], "x double")
+    got = [r[0] for r in df.select(calibration.tiers(F.col("x"), [0, 0.05, 0.15, 0.35, 1.01], ["a", "b", "c", "d"])).collect()]
+    assert got == ["a", "a", "b", "d", None, None, None]
+    with pytest.raises(ValueError):
+        calibration.tiers(F.col("x"), [0, 1], ["a", "b"])
+    curve = spark.createDataFrame([("r", 0.0, 0.0), ("r", 0.5, 1.0), ("r", 1.0, 0.0), ("one", 0.3, 1.0), ("r", None, 3.0)], "run string, x double, y double")
+    pts = {(r.run, r.point): r.y for r in calibration.interpolated(curve, "run", "x", "y", grid=4).collect()}
+    assert pts == {("r", 1): 0.5, ("r", 2): 1.0, ("r", 3): 0.5, ("r", 4): 0.0}
+
+
+def test_numbers_verdicts_and_references(spark, scratch):
+    held = spark.createDataFrame([("a", 7)], "id string, n long")
+    got = remediation.minted(spark.createDataFrame([("a",), ("c",), ("b",)], "id string"), held, "id", "n", ["id"], scratch)
+    assert rows(got, "id") == [("b", 8), ("c", 9)]
+    m = spark.createDataFrame([("g", "A", "x"), ("g", "a", "x"), ("h", "a", "x"), ("h", "b", "x"), ("i", "a", "x"), ("i", "b", "y"), ("j", None, None)], "g string, s string, d string")
+    assert {r.g: r.verdict for r in remediation.pair_verdicts(m, "g", "s", "d").collect()} == {"g": "byte-identical", "h": "re-encoded", "i": "different", "j": "unknown"}
+    late = rules.before_reference(spark.createDataFrame([("k", 1), ("k", 9), ("q", 5), ("k", None)], "key string, at int"), spark.createDataFrame([("k", 3)], "key string, ref int"), "key", "at", "ref")
+    assert sorted((r.key, r.problem) for r in late.collect()) == [("k", "no time"), ("k", "too early"), ("q", "no reference")]
+    urls = spark.createDataFrame([("https://x.org/a",), ("ftp://x",), ("x.org",), (" ",), (None,)], "u string")
+    assert [r[0] for r in urls.select(rules.url_problem(F.col("u"))).collect()] == [None, "scheme", "no address", "missing", "missing"]
+    with pytest.raises(ValueError):
+        one = spark.range(1).select(F.lit(1).alias("c"))
+        reconcile.named_facts({"a_b": one.select(F.col("c").alias("d")), "a": one.select(F.col("c").alias("b_d"))})
+
+
+def test_metrics_on_empty_tables(spark, scratch):
+    pred = spark.createDataFrame([], "item_id long, y_true int, y_pred int, conf double, correct boolean, probs array<double>")
+    assert metrics.top1(pred).head().accuracy is None
+    assert metrics.summary(metrics.per_class(metrics.confusion(pred))).head().accuracy is None
+    assert calibration.likelihood(pred).head().n == 0
+    assert [r.n for r in calibration.bins(pred, 3).collect()] == [0, 0, 0]
+    assert calibration.calibration_error(calibration.bins(pred, 3)).head().ece is None
+    assert rows(calibration.at_threshold(pred, 0.5, "correct")) == [(0.0, None)]
+    assert rows(calibration.risk_coverage(pred, "correct", scratch)) == [(0.0, 0, 0, None, None)]
+    one = metrics.mean_sd(spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", None)], "k string, v double"), ["k"], ["v"]).head()
+    assert (one.v_mean, one.v_sd, one.v_n) == (1.0, None, 1)
+
+
+def test_bins_are_right_closed(spark):
+    df = spark.createDataFrame([(0.0, True), (0.2, True), (0.2000001, False), (1.0, True), (None, True)], "conf double, correct boolean")
+    assert [r.n for r in calibration.bins(df, 5).orderBy("bin").collect()] == [2, 1, 0, 0, 1]

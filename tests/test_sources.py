@@ -134,3 +134,14 @@ def test_stream_deduplication(spark, tmp_path):
     q = windows.deduplicated(stream, "k", "t").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.k for r in spark.table("once").collect()) == [1, 2]
+
+
+def test_image_measures():
+    a, b = np.zeros((40, 40, 3), np.uint8), np.full((40, 40, 3), 45, np.uint8)
+    assert [images.likeness(a, x) for x in (a, b, b + 60)] == ["alike", "doubtful", "different"]
+    h = images.channel_histogram(b)
+    assert len(h) == 48 and h[45 // 16] == 1.0 and sum(h) == pytest.approx(3)
+    mask = np.zeros((4, 4), bool)
+    mask[0, :2] = True
+    assert images.covered_share(mask) == 2 / 16 and images.covered_share(mask, np.eye(4, dtype=bool)) == 2 / 5
+    assert images.covered_share(np.zeros((0, 0), bool)) is None
