@@ -67,7 +67,7 @@ def paired_change(runs: DataFrame, keys: Sequence[str], setting: str, base: str,
 def rankings(runs: DataFrame, seed: str, model: str, value: str, descending: bool = True) -> DataFrame:
     """(seed, model, rank): models ranked within each seed, ties by name."""
     w = Window.partitionBy(seed).orderBy(F.desc(value) if descending else F.asc(value), model)
-    return runs.where(F.col(value).isNotNull()).select(seed, model, F.row_number().over(w).alias("rank"))
+    return runs.where(F.col(value).isNotNull()).select(seed, model, F.row_number().over(w).cast("long").alias("rank"))
 
 
 def ranking_stability(ranked: DataFrame, seed: str, model: str) -> DataFrame:

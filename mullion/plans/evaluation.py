@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mullion.operators import calibration, inference, metrics
-from mullion.plans.manifests import table
+from mullion.plans.manifests import rounded, table
 from mullion.scale import Scratch
 
 QUERIES, SQL = {}, {}
@@ -27,11 +27,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """All doubles to six places, where the two engines' orders of summation can't be told apart."""
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def predictions(spark: SparkSession, sf: str, run: int = 0) -> DataFrame:
     """(item_id, y_true, y_pred, conf, correct, logits) of one pseudo-model."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")

@@ -28,6 +28,11 @@ def manifest(spark: SparkSession, sf: str, name: str = "plantvillage") -> DataFr
     return t.withColumn("split", split_name(F.col("split"))).withColumn("sha256", digest(F.col("sha256"))).withColumn("h", phash_bits(F.col("phash"))).distinct()
 
 
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """All doubles to six places, where the two engines' orders of summation can't be told apart."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def man_sql(name: str = "plantvillage") -> str:
     return f"(select distinct record_id, dataset, {SP} as split, class_label, relpath, {DIG} as sha256, phash, width, height, mode, n_bytes, is_corrupt, {H} as h from {name})"
 
@@ -131,14 +136,14 @@ def _(spark, sf):
     return rows.select("relpath", collision_safe(F.col("relpath"), F.col("sha256")).alias("safe_path")).distinct()
 
 
-@query("class_imbalance", f"select cast(sum(c) as bigint) as n, count(*) as n_classes, arg_min(class_label, (-c, class_label)) as largest, arg_min(class_label, (c, class_label)) as smallest, max(c) / min(c) as ratio from (select class_label, count(*) as c from {M} where class_label is not null group by 1)")
+@query("class_imbalance", f"select cast(sum(c) as bigint) as n, count(*) as n_classes, arg_min(class_label, (-c, class_label)) as largest, arg_min(class_label, (c, class_label)) as smallest, round(max(c) / min(c), 6) as ratio from (select class_label, count(*) as c from {M} where class_label is not null group by 1)")
 def _(spark, sf):
-    return profile.imbalance(manifest(spark, sf), "class_label")
+    return rounded(profile.imbalance(manifest(spark, sf), "class_label"))
 
 
-@query("class_majority_baseline", f"select arg_min(class_label, (-c, class_label)) as label, max(c) / sum(c) as accuracy, 2 * (max(c) / sum(c)) / ((max(c) / sum(c)) + 1) / count(*) as macro_f1 from (select class_label, count(*) as c from {M} where class_label is not null group by 1)")
+@query("class_majority_baseline", f"select arg_min(class_label, (-c, class_label)) as label, round(max(c) / sum(c), 6) as accuracy, round(2 * (max(c) / sum(c)) / ((max(c) / sum(c)) + 1) / count(*), 6) as macro_f1 from (select class_label, count(*) as c from {M} where class_label is not null group by 1)")
 def _(spark, sf):
-    return profile.majority_baseline(manifest(spark, sf), "class_label")
+    return rounded(profile.majority_baseline(manifest(spark, sf), "class_label"))
 
 
 LEAF_OK = "coalesce(trim(leaf_id) not in ('', '-1'), false)"
@@ -169,9 +174,9 @@ def _(spark, sf):
     return profile.class_index(manifest(spark, sf), "class_label")
 
 
-@query("class_weights", f"select class_label, n, raw / avg(raw) over () as weight from (select class_label, n, sum(n) over () / (count(*) over () * n) as raw from (select class_label, count(*) as n from {M} where class_label is not null group by 1))")
+@query("class_weights", f"select class_label, n, round(raw / avg(raw) over (), 6) as weight from (select class_label, n, sum(n) over () / (count(*) over () * n) as raw from (select class_label, count(*) as n from {M} where class_label is not null group by 1))")
 def _(spark, sf):
-    return profile.class_weights(manifest(spark, sf), "class_label")
+    return rounded(profile.class_weights(manifest(spark, sf), "class_label"))
 
 
 @query("train_only_classes", f"select distinct class_label from {D} where split = 'train' except select class_label from {D} where split in ('val', 'test')")

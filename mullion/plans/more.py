@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mullion.operators import calibration, generators, metrics, profile, reconcile, remediation, rules
-from mullion.plans.evaluation import P, predictions, pred_sql, rounded
-from mullion.plans.manifests import M, manifest, table
+from mullion.plans.evaluation import P, pred_sql, predictions
+from mullion.plans.manifests import M, manifest, rounded, table
 from mullion.scale import Scratch
 
 QUERIES, SQL = {}, {}
