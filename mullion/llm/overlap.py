@@ -36,14 +36,20 @@ def choose_segments(n_train: int, n_eval: int, bits: int) -> int:
     return min((bits + 1 + x for x in EXTRA if bits + 1 + x <= 16), key=cost)
 
 
+def _content_bits(segments: int, must: int) -> int:
+    """Bits that the contents of `must` segments need; the mask stands right above them, so that keys are short."""
+    return -(-64 // segments) * must
+
+
 def _keys(h: str, segments: int, must: int) -> F.Column:
     """One row per combination of `must` segments: its mask of segments in the high bits, their contents below."""
     cuts = [64 * i // segments for i in range(segments + 1)]
+    above = _content_bits(segments, must)
     masks = [sum(1 << i for i in c) for c in combinations(range(segments), must)]
     if len(masks) <= 100:
         keys = []
         for m in masks:
-            parts, at = [f"({m}L << 44)"], 0
+            parts, at = [f"({m}L << {above})"], 0
             for i in range(segments):
                 if m >> i & 1:
                     width = cuts[i + 1] - cuts[i]
@@ -54,7 +60,7 @@ def _keys(h: str, segments: int, must: int) -> F.Column:
     # Too many for generated code: the same by a loop over the segments.
     content = f"(shiftrightunsigned({h}, element_at(array({', '.join(map(str, cuts))}), i + 1)) & ((1L << {-(-64 // segments)}) - 1) & ((1L << (element_at(array({', '.join(map(str, cuts))}), i + 2) - element_at(array({', '.join(map(str, cuts))}), i + 1))) - 1))"
     loop = f"aggregate(sequence(0, {segments - 1}), 0L, (a, i) -> if((shiftright(m, i) & 1L) = 1L, (a << {-(-64 // segments)}) | {content}, a))"
-    return F.explode(F.expr(f"transform(array({', '.join(f'{m}L' for m in masks)}), m -> (m << 44) | {loop})"))
+    return F.explode(F.expr(f"transform(array({', '.join(f'{m}L' for m in masks)}), m -> (m << {above}) | {loop})"))
 
 
 def bit_segment_join(train: DataFrame, evaluation: DataFrame, bits: int = 6, segments: int | None = None) -> DataFrame:
@@ -74,14 +80,14 @@ def bit_segment_join(train: DataFrame, evaluation: DataFrame, bits: int = 6, seg
         n = train.agg(F.approx_count_distinct("h")).head()[0], evaluation.agg(F.approx_count_distinct("h")).head()[0]
         segments = choose_segments(max(1, n[0]), max(1, n[1]), bits)
     must = segments - bits
-    if not 1 <= must <= 16 - bits or -(-64 // segments) * must > 44:
+    if not 1 <= must <= 16 - bits or _content_bits(segments, must) + segments > 63:
         raise ValueError("no such number of segments")
     t = t.select(F.col("h").alias("h_train"), _keys("h", segments, must).alias("key"))
     e = e.select(F.col("h").alias("h_eval"), _keys("h", segments, must).alias("key"))
     near = t.join(e, "key").where(hamming(F.col("h_train"), F.col("h_eval")) <= bits)
     cuts = [64 * i // segments for i in range(segments + 1)]
     equal = " | ".join(f"if((shiftrightunsigned(h_train ^ h_eval, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L) = 0, {1 << i}L, 0L)" for i in range(segments))
-    mask = near.select("h_train", "h_eval", F.expr(f"({equal})").alias("equal"), F.expr("shiftrightunsigned(key, 44)").alias("m"))
+    mask = near.select("h_train", "h_eval", F.expr(f"({equal})").alias("equal"), F.expr(f"shiftrightunsigned(key, {_content_bits(segments, must)})").alias("m"))
     for step in (1, 2, 4, 8):
         # All bits up to the combination's highest, one doubling at a time.
         mask = mask.withColumn("upto", F.expr(f"{'m' if step == 1 else 'upto'} | shiftrightunsigned({'m' if step == 1 else 'upto'}, {step})"))
