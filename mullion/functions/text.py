@@ -25,18 +25,18 @@ def first_alias(form: Column, aliases: Sequence[tuple[str, str]]) -> Column:
     return found
 
 
-def remainder(form: Column, aliases: Sequence[tuple[str, str]], generic: Sequence[str] = ("leaf",), whole: str = "healthy") -> Column:
+def remainder(form: Column, aliases: Sequence[tuple[str, str]], subject: Column | None = None, generic: Sequence[str] = ("leaf",), whole: str = "healthy") -> Column:
     """What a label form says besides its subject: all words but generic ones and those of the subject's aliases.
 
-    A form that holds `whole` is that word; a form of which nothing is left stays as it is.
+    A form that holds `whole` is that word; a form of which nothing is left stays as it is. `subject` spares finding the
+    first alias again where it is a column already.
     """
-    subject = first_alias(form, aliases)
+    subject = first_alias(form, aliases) if subject is None else subject
     words: dict[str, set[str]] = {}
     for alias, name in aliases:
         words.setdefault(name, set()).update(alias.split())
-    drop = F.array(*[F.lit(w) for w in generic])
-    for name, own in words.items():
-        drop = F.when(subject == name, F.array(*[F.lit(w) for w in sorted(own | set(generic))])).otherwise(drop)
+    own = F.create_map(*[x for name, w in words.items() for x in (F.lit(name), F.array(*[F.lit(v) for v in sorted(w | set(generic))]))])
+    drop = F.coalesce(F.try_element_at(own, subject), F.array(*[F.lit(w) for w in generic]))
     rest = F.array_join(F.filter(F.split(form, " "), lambda w: ~F.array_contains(drop, w)), " ")
     return F.when(form.contains(whole), whole).otherwise(F.coalesce(F.nullif(rest, F.lit("")), form))
 

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def label_seeds(manifest: DataFrame, dataset: str, label: str, crop: Column, state: Column) -> DataFrame:
-    """(dataset, label, crop, state): one row per distinct label of each dataset; null labels are left out."""
+    """(dataset, label, crop, state): one row per distinct label of each dataset; null labels are left out.
+
+    crop is an expression of `label`, state one of `label` and `crop`.
+    """
     distinct = manifest.select(F.col(dataset).alias("dataset"), F.col(label).alias("label")).where("label is not null").distinct()
-    return distinct.select("dataset", "label", crop.alias("crop"), state.alias("state"))
+    return distinct.select("dataset", "label", crop.alias("crop")).select("dataset", "label", "crop", state.alias("state"))
 
 
 def crosswalk(left: DataFrame, right: DataFrame) -> DataFrame:

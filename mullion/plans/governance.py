@@ -43,7 +43,9 @@ def labels_sql(src: str) -> str:
 
 def labels(spark: SparkSession, sf: str, name: str) -> DataFrame:
     form = text.label_form(F.col("label"))
-    return crosswalk.label_seeds(table(spark, sf, name), "dataset", "class_label", text.first_alias(form, ALIASES), text.remainder(form, ALIASES)).select("label", "crop", "state").distinct()
+    seeds = crosswalk.label_seeds(table(spark, sf, name), "dataset", "class_label", text.first_alias(form, ALIASES), text.remainder(form, ALIASES, F.col("crop")))
+    # The vocabulary is read several times by a crosswalk, the manifest once.
+    return Scratch(spark).keep(seeds.select("label", "crop", "state").distinct(), "labels")
 
 
 @query("label_forms", f"select label, form, crop, state, lower(replace(replace(crop || '__' || state, ' ', '_'), ',', '')) as name from {labels_sql('plantdoc')}")
