@@ -274,7 +274,6 @@ CANON = """'near-' || substr(sha256('{"evaluation_relpath":"' || coalesce(evalua
 @query("canonical_pair_ids", f"select pair_row_id, {CANON} as pair_id from (select distinct pair_row_id, training_relpath, evaluation_relpath from leakage_plantvillage_vs_plantdoc_pairs where coalesce(training_relpath, '') || coalesce(evaluation_relpath, '') not like '%\\%')")
 def _(spark, sf):
     p = table(spark, sf, "leakage_plantvillage_vs_plantdoc_pairs").select("pair_row_id", "training_relpath", "evaluation_relpath").distinct()
-    p = p.where(~F.concat(F.coalesce("training_relpath", F.lit("")), F.coalesce("evaluation_relpath", F.lit(""))).contains("\\"))
     made = canonical_id("near", {"training_relpath": F.col("training_relpath"), "evaluation_relpath": F.col("evaluation_relpath"), "pair_type": F.lit("near")}, {"hash_bits": F.lit(64)})
     return p.select("pair_row_id", made.alias("pair_id"))
 

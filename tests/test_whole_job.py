@@ -1,5 +1,8 @@
 """Queries over all of their rows, held against brute force where their SQL leaves rows out."""
 
+import hashlib
+import json
+
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
@@ -29,3 +32,21 @@ def test_merged_decisions_loses_only_what_is_gone(spark, tmp_path):
     spark.createDataFrame(reviews, "canonical_pair_id string, human_decision string").write.parquet(f"{tmp_path}/cross_dataset_near_duplicate_review.parquet")
     got = entry.queries()["merged_decisions"](spark, str(tmp_path)).orderBy("id").collect()
     assert [tuple(r) for r in got] == [("a", "keep", "kept"), ("b", None, "kept"), ("c", None, "new"), ("y", "drop", "lost")]
+
+
+def pair_id(training, evaluation):
+    fields = {"evaluation_relpath": evaluation or "", "hash_bits": 64, "pair_type": "near", "training_relpath": training or ""}
+    return "near-" + hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:16]
+
+
+def test_canonical_pair_ids_of_all_pairs(spark):
+    want = {(n, pair_id(t, e)) for n, t, e in column_rows("leakage_plantvillage_vs_plantdoc_pairs", "pair_row_id", "training_relpath", "evaluation_relpath")}
+    got = [tuple(r) for r in entry.queries()["canonical_pair_ids"](spark, oracle.DATA).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_canonical_pair_ids_escape_what_json_escapes(spark, tmp_path):
+    pairs = [(1, "a/b.jpg", "c/d.jpg"), (2, "a\\b.jpg", "c/d.jpg"), (3, "a/b.jpg", "c\\\\d.jpg"), (4, 'a"b', "c\td"), (5, "\\", None), (6, None, "é\\花")]
+    spark.createDataFrame(pairs, "pair_row_id long, training_relpath string, evaluation_relpath string").write.parquet(f"{tmp_path}/leakage_plantvillage_vs_plantdoc_pairs.parquet")
+    got = entry.queries()["canonical_pair_ids"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(n, pair_id(t, e)) for n, t, e in pairs} and len(got) == len(pairs)
