@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Missing and differing records per shard beside the latest earlier report's claims."""
+    """Missing and differing records per shard beside the latest earlier report's claims; extras are in p3_extra_claims."""
     found = _differences(spark, sf, carry=True).where("outcome <> 'extra_records'")
     now = found.groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(
         F.count_distinct(F.when(F.col("outcome") == "missing_records", F.col("relpath"))).alias("missing_records"),
@@ -67,6 +67,22 @@ def p3_claims(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p3_extra_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Extra records claimed by each shard's latest earlier report, and those found, in the row whose shard is null.
+
+    Rebuilt rows have no shard, and a record too many has no other row to take one from; so the found ones have one row
+    for all shards, against which the claims can be held as a sum.
+    """
+    found = _differences(spark, sf).where("outcome = 'extra_records'").agg(F.count(F.lit(1)).alias("extra_records"))
+    claims = _table(spark, sf, "plantvillage_manifest_reconstruction").groupBy("shard_id").agg(
+        F.max_by(F.struct("extra_records"), F.struct("run_at_utc", "run_id")).alias("c")
+    )
+    none = F.lit(None).cast("long")
+    rows = claims.select("shard_id", none.alias("extra_records"), F.col("c.extra_records").alias("claimed_extra"))
+    rows = rows.unionByName(found.select(none.alias("shard_id"), "extra_records", none.alias("claimed_extra")))
+    return rows.groupBy("shard_id").agg(F.max("extra_records").alias("extra_records"), F.max("claimed_extra").alias("claimed_extra"))
+
+
 def _references(spark: SparkSession, sf: str) -> DataFrame:
     pairs, reviews = _table(spark, sf, "leakage_plantvillage_vs_plantdoc_pairs"), _table(spark, sf, "cross_dataset_near_duplicate_review")
     from_pairs = pairs.select(
@@ -103,7 +119,7 @@ def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("table_name", "field_name", "month").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_claims": p3_claims, "p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES = {"p3_found": p3_found, "p3_claims": p3_claims, "p3_extra_claims": p3_extra_claims, "p4_found": p4_found, "p4_counts": p4_counts}
 
 _PATH = r"nullif(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '^[\s\x{{00A0}}\x{{3000}}]+|[\s\x{{00A0}}\x{{3000}}]+$', '', 'g'), '[/\\]+', '/', 'g'), '^(\./)+', ''), '')"
 _NUM = "coalesce(cast(try_cast(regexp_replace(coalesce(cast({0} as varchar), ''), '[\\s_]', '', 'g') as decimal(38,6)) as varchar), coalesce(cast({0} as varchar), ''))"
@@ -144,3 +160,9 @@ with d as ({SQL["p3_found"]}), m as (select distinct relpath, shard_id from plan
 n as (select shard_id, count(distinct d.relpath) filter (where outcome = 'missing_records') as missing_records, count(distinct d.relpath) filter (where outcome = 'value_mismatches') as value_mismatches from d join m on d.relpath = m.relpath where outcome <> 'extra_records' group by 1),
 c as (select shard_id, arg_max((missing_records, value_mismatches), (run_at_utc, run_id)) as c from plantvillage_manifest_reconstruction group by 1)
 select coalesce(n.shard_id, c.shard_id) as shard_id, coalesce(missing_records, 0) as missing_records, coalesce(value_mismatches, 0) as value_mismatches, c[1] as claimed_missing, c[2] as claimed_mismatches from n full join c on n.shard_id = c.shard_id"""
+
+SQL["p3_extra_claims"] = f"""
+with d as (select count(*) as n from ({SQL["p3_found"]}) where outcome = 'extra_records'),
+c as (select shard_id, arg_max(row(extra_records), (run_at_utc, run_id)) as c from plantvillage_manifest_reconstruction group by 1),
+r as (select shard_id, null::bigint as extra_records, c[1] as claimed_extra from c union all select null, n, null from d)
+select shard_id, max(extra_records) as extra_records, max(claimed_extra) as claimed_extra from r group by 1"""

@@ -50,3 +50,16 @@ def test_canonical_pair_ids_escape_what_json_escapes(spark, tmp_path):
     spark.createDataFrame(pairs, "pair_row_id long, training_relpath string, evaluation_relpath string").write.parquet(f"{tmp_path}/leakage_plantvillage_vs_plantdoc_pairs.parquet")
     got = entry.queries()["canonical_pair_ids"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(n, pair_id(t, e)) for n, t, e in pairs} and len(got) == len(pairs)
+
+
+def test_extra_records_are_found_and_claimed(spark):
+    got = {r.shard_id: (r.extra_records, r.claimed_extra) for r in entry.queries()["p3_extra_claims"](spark, oracle.DATA).collect()}
+    extra = {r.relpath for r in entry.queries()["p3_found"](spark, oracle.DATA).where("outcome = 'extra_records'").collect()}
+    shards = {s for (s,) in column_rows("plantvillage_manifest_reconstruction", "shard_id")}
+    assert set(got) == shards | {None}
+    assert extra and got[None][0] == len(extra)
+    claims = {}
+    for s, n, *when in column_rows("plantvillage_manifest_reconstruction", "shard_id", "extra_records", "run_at_utc", "run_id"):
+        if None not in when:
+            claims.setdefault(s, []).append((when, n))
+    assert claims and all(got[s][1] == max(x, key=lambda y: y[0])[1] for s, x in claims.items())
