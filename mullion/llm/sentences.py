@@ -29,8 +29,6 @@ STOPS = ".!?…。！？｡।॥؟．‼⁇⁈⁉۔"
 OPENERS = {"(": ")", "（": "）", "[": "]", "【": "】", "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "｢": "｣", '"': '"'}
 CLOSERS = set(")）]】”“»」』｣\"’'")
 BRACKETS = set("(（[【")
-#: An opener counts only if it is closed within so many characters of its unit.
-REACH = 600
 
 _SPACE = r"[^\S\n\r\u0085  ]"
 _END = r"(?:\r\n|[\n\r\u0085  ])"
@@ -194,8 +192,7 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, list[str]]]:
         elif c in CLOSERS:
             for i in range(len(waiting) - 1, -1, -1):
                 if c in OPENERS[waiting[i][0]]:
-                    if m.start() - waiting[i][1] <= REACH:
-                        close_of[waiting[i][1]] = m.start()
+                    close_of[waiting[i][1]] = m.start()
                     del waiting[i:]
                     break
     opener_of = {j: i for i, j in close_of.items()}
@@ -227,7 +224,7 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, list[str]]]:
                 q += 1
             if q in opener_of:
                 o = opener_of[q]
-                entry = next((e for e in stack if e[2] == o), None)
+                entry = next((e for e in reversed(stack) if e[2] == o), None)
                 while stack and stack.pop()[2] != o:
                     pass
                 closed.append(entry)

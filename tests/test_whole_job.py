@@ -6,6 +6,7 @@ import json
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
+from mullion.llm import sentences
 from tests import oracle
 
 
@@ -63,3 +64,21 @@ def test_extra_records_are_found_and_claimed(spark):
         if None not in when:
             claims.setdefault(s, []).append((when, n))
     assert claims and all(got[s][1] == max(x, key=lambda y: y[0])[1] for s, x in claims.items())
+
+
+def test_marks_are_matched_over_a_whole_unit():
+    for n in (5, 100):
+        text = "(" + "The row was read. " * n + "It held.) Then it ended."
+        places = sentences.candidates(text, 0, len(text))
+        assert len(places) == n + 2
+        assert all("in" in f for _, f in places[:n]) and not any("in" in f for _, f in places[n:])
+        assert any(x.startswith("bracket|") for x in places[n][1])
+
+
+def test_deeply_nested_marks_in_time():
+    import time
+
+    began = time.time()
+    text = "(" * 20_000 + "It fell." + ")" * 20_000 + " Then it rained."
+    sentences.candidates(text, 0, len(text))
+    assert time.time() - began < 10
