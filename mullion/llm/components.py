@@ -20,16 +20,18 @@ MAX_ROUNDS = 200
 def _ids(vertices: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Vertices as (id, kind, key) and links as (u, v) of 64-bit ids, proved free of collisions.
 
-    An id is a hash of kind and key. If two keys ever share one, another seed is taken.
+    An id is a hash of kind and key. If two keys ever share one, of vertices or of ends of links, another seed is taken.
     """
+    ends = links.select(F.explode(F.array(F.struct(F.col("kind_a").alias("kind"), F.col("a").alias("key")), F.struct(F.col("kind_b").alias("kind"), F.col("b").alias("key")))).alias("e"))
+    everyone = vertices.select("kind", "key", F.lit(True).alias("listed")).unionAll(ends.select("e.kind", "e.key", F.lit(False)))
     for seed in range(20):
-        known = vertices.select(F.xxhash64(F.lit(seed), "kind", "key").alias("id"), "kind", "key")
+        known = everyone.select(F.xxhash64(F.lit(seed), "kind", "key").alias("id"), "kind", "key", "listed")
         edges = links.select(F.xxhash64(F.lit(seed), "kind_a", "a").alias("u"), F.xxhash64(F.lit(seed), "kind_b", "b").alias("v")).where("u <> v")
         edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        named = known.groupBy("id").agg(F.min(F.struct("kind", "key")).alias("x"), F.max(F.struct("kind", "key")).alias("y"))
-        named = scratch.keep(named.select("id", "x.kind", "x.key", (F.col("x") != F.col("y")).alias("clash")), "vertices")
+        named = known.groupBy("id").agg(F.min(F.struct("kind", "key")).alias("x"), F.max(F.struct("kind", "key")).alias("y"), F.max("listed").alias("listed"))
+        named = scratch.keep(named.select("id", "x.kind", "x.key", "listed", (F.col("x") != F.col("y")).alias("clash")), "vertices")
         if named.where("clash").isEmpty():
-            return named.drop("clash"), scratch.keep(edges, "links")
+            return named.where("listed").drop("listed", "clash"), scratch.keep(edges, "links")
         scratch.drop(named)
     raise RuntimeError("no seed without collisions")
 

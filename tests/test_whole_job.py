@@ -4,9 +4,11 @@ import hashlib
 import json
 
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from mullion.llm import sentences
+from mullion.llm import components, sentences
 from tests import oracle
 
 
@@ -82,3 +84,20 @@ def test_deeply_nested_marks_in_time():
     text = "(" * 20_000 + "It fell." + ")" * 20_000 + " Then it rained."
     sentences.candidates(text, 0, len(text))
     assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("met", ["hub", "record"])
+def test_ids_of_hubs_never_collide(spark, monkeypatch, met):
+    real = F.xxhash64
+
+    def colliding(seed, kind, key):
+        """Under the first seed all hubs have one id, or that of a record."""
+        if not seed._jc.toString() == "0":
+            return real(seed, kind, key)
+        return F.when(F.col(kind) == "hub", F.lit(7).cast("long") if met == "hub" else real(seed, F.lit("record"), F.lit("e"))).otherwise(real(seed, kind, key))
+
+    monkeypatch.setattr(F, "xxhash64", colliding)
+    vertices = spark.createDataFrame([("record", k) for k in "abcde"], "kind string, key string")
+    links = spark.createDataFrame([("record", "a", "hub", "x"), ("record", "b", "hub", "x"), *([("record", "c", "hub", "y"), ("record", "d", "hub", "y")] if met == "hub" else [])], "kind_a string, a string, kind_b string, b string")
+    got = {r.key: r.group_key for r in components.linked_groups(vertices, links).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c" if met == "hub" else "d", "e": "e"}
