@@ -20,6 +20,14 @@ def digest(sha256: Column) -> Column:
     return F.nullif(F.lower(F.trim(sha256)), F.lit(""))
 
 
+def digest_bytes(digest: Column) -> Column:
+    """A digest in few bytes, null for null: 32 for one of 64 hex digits, more for any other text, so that none meet.
+
+    Equal bytes mean equal texts: a text of another form stands whole behind 33 blanks.
+    """
+    return F.when(digest.rlike(r"^[0-9a-f]{64}\z"), F.unhex(digest)).otherwise(F.encode(F.concat(F.lit(" " * 33), digest), "utf-8"))
+
+
 def phash_bits(phash: Column) -> Column:
     """The 64 bits of a hash of exactly 16 hex digits as a signed long; null for anything else."""
     bare = F.regexp_replace(F.lower(F.trim(phash)), "^0x", "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mullion.functions.paths import normal_path
-from mullion.functions.records import digest, phash_bits, split_name
+from mullion.functions.records import digest, digest_bytes, phash_bits, split_name
 from mullion.llm import components, grouping, overlap, pack, sentences, tokens
 from mullion.scale import Scratch
 
@@ -34,7 +34,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _records(spark, sf).select("record_id", "side", F.unhex("digest").alias("digest"), "h")
+    rows = _records(spark, sf).select("record_id", "side", digest_bytes(F.col("digest")).alias("digest"), "h")
     return overlap.cross_split_pairs(Scratch(spark).keep(rows.distinct(), "records"))
 
 

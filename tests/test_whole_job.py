@@ -101,3 +101,15 @@ def test_ids_of_hubs_never_collide(spark, monkeypatch, met):
     links = spark.createDataFrame([("record", "a", "hub", "x"), ("record", "b", "hub", "x"), *([("record", "c", "hub", "y"), ("record", "d", "hub", "y")] if met == "hub" else [])], "kind_a string, a string, kind_b string, b string")
     got = {r.key: r.group_key for r in components.linked_groups(vertices, links).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c" if met == "hub" else "d", "e": "e"}
+
+
+def test_digests_of_any_form_match_as_texts(spark, tmp_path):
+    texts = ["ab" * 32, "AB" * 32, "not hex", "abc", "0abc", "ab" * 32 + "\n", "é", None, "x", "x "]
+    kind = "record_id string, dataset string, split string, sha256 string, phash string"
+    spark.createDataFrame([(f"t{i}", "d", "train", t, None) for i, t in enumerate(texts)], kind).write.parquet(f"{tmp_path}/plantvillage.parquet")
+    spark.createDataFrame([(f"e{i}", "d", "test", t, None) for i, t in enumerate(texts)], kind).write.parquet(f"{tmp_path}/plantdoc.parquet")
+    form = [t and t.lower().strip(" ") for t in texts]
+    want = {(f"e{i}", f"t{j}") for i, x in enumerate(form) for j, y in enumerate(form) if x is not None and x == y}
+    assert {tuple(r) for r in entry.queries()["p2_found"](spark, str(tmp_path)).collect()} == want
+    counts = entry.queries()["p2_counts"](spark, str(tmp_path)).collect()
+    assert [(r.split, r.dataset, r.n_pairs, r.n_records) for r in counts] == [("test", "d", len(want), len({e for e, _ in want}))]
