@@ -41,6 +41,25 @@ def _(spark, sf):
     return generators.search_counts(spark, (300, 1000), "band", 2, "blocked")
 
 
+#: Sizes and threshold of the original benchmark. No SQL: the tables' hashes are Spark's; tests compare all pairs.
+SURVEY_SIZES, SURVEY_THRESHOLD = (1000, 10_000), 6
+
+
+@query("hash_survey_dense")
+def _(spark, sf):
+    return generators.search_counts(spark, SURVEY_SIZES, "dense", SURVEY_THRESHOLD, "banded")
+
+
+@query("hash_survey_random")
+def _(spark, sf):
+    return generators.search_counts(spark, SURVEY_SIZES, "random", SURVEY_THRESHOLD, "banded")
+
+
+@query("hash_survey_band")
+def _(spark, sf):
+    return generators.search_counts(spark, SURVEY_SIZES, "band", SURVEY_THRESHOLD, "banded")
+
+
 CURVE = " union all ".join(f"select 'm{r}' as run, cast(y_true as double) / 5 + 0.1 as x, round(avg(cast(correct as integer)), 9) as y from {pred_sql(r)} group by 2" for r in range(3))
 
 

@@ -3,12 +3,14 @@
 import hashlib
 import json
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from mullion.llm import components, sentences
+from mullion.operators import generators
 from tests import oracle
 
 
@@ -113,3 +115,25 @@ def test_digests_of_any_form_match_as_texts(spark, tmp_path):
     assert {tuple(r) for r in entry.queries()["p2_found"](spark, str(tmp_path)).collect()} == want
     counts = entry.queries()["p2_counts"](spark, str(tmp_path)).collect()
     assert [(r.split, r.dataset, r.n_pairs, r.n_records) for r in counts] == [("test", "d", len(want), len({e for e, _ in want}))]
+
+
+@pytest.mark.parametrize("kind", ["dense", "random", "band"])
+def test_benchmark_at_the_survey_sizes_against_all_pairs(spark, kind):
+    got = {r.n: (r.found, r.possible, r.strategy) for r in entry.queries()[f"hash_survey_{kind}"](spark, oracle.DATA).collect()}
+    want = {}
+    for n in (1000, 10_000):
+        h = np.array([r.h for r in generators.hash_table(spark, n, kind).collect()], dtype=np.int64).view(np.uint64)
+        assert len(set(h.tolist())) == n
+        near = sum(int((np.bitwise_count(h[i] ^ h[i + 1 :]) <= 6).sum()) for i in range(n))
+        want[n] = (near, n * (n - 1) // 2, "banded")
+    assert got == want
+    assert kind != "dense" or all(near == possible for near, possible, _ in got.values())
+
+
+def test_dense_tables_up_to_their_bound(spark):
+    n = generators.PAIRS + generators.TRIPLES
+    h = [r.h for r in generators.hash_table(spark, n, "dense").collect()]
+    assert len(set(h)) == n and {((x ^ generators.ANCHOR) & (1 << 64) - 1).bit_count() for x in h} == {2, 3}
+    for size, threshold in ((n + 1, 6), (2017, 4), (10, 3)):
+        with pytest.raises(ValueError):
+            generators.hash_table(spark, size, "dense", threshold)
