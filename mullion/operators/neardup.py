@@ -55,7 +55,8 @@ def near_hashes(a: DataFrame, b: DataFrame | None, threshold: int, strategy: str
     strategy blocked: the smaller side is broadcast and every pair is compared within generated code; refused above
     BROADCAST_ROWS. banded: hashes meet where enough of their bands are equal, and each pair is verified and given only
     by its first equal bands, so nothing has to be made distinct. auto counts the right side and decides; the number of
-    bands follows the counts. All ways find the same pairs.
+    bands follows the counts. broad, for thresholds at which bands rule out little, is blocked as long as the right side
+    may be broadcast, else banded. All ways find the same pairs.
     """
     check_threshold(threshold)
     left = a.select(F.col("h").alias("ha")).where("ha is not null").distinct()
@@ -68,6 +69,8 @@ def near_hashes(a: DataFrame, b: DataFrame | None, threshold: int, strategy: str
         return left.select("ha", F.col("ha").alias("hb"), F.lit(0).alias("distance")).where(F.lit(False))
     if strategy == "auto":
         strategy = "blocked" if right.limit(BLOCKED_ROWS + 1).count() <= BLOCKED_ROWS else "banded"
+    if strategy == "broad":
+        strategy = "blocked" if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "banded"
     if strategy == "blocked":
         if right.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
             raise ValueError("too many hashes to broadcast; take the banded strategy")

@@ -251,7 +251,7 @@ BITS = "(select vec_id, " + " || ".join(f"case when embedding[{i + 1}] > 0 then
 @query("embedding_sign_pairs", f"select a.vec_id as id_a, b.vec_id as id_b, cast(bit_count(xor(a.b::bit, b.b::bit)) as integer) as distance from {BITS} a join {BITS} b on a.vec_id < b.vec_id where bit_count(xor(a.b::bit, b.b::bit)) between 1 and 20")
 def _(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), sign_bits(F.col("embedding"), 64).alias("h"))
-    return neardup.near_pairs(rows, None, 20, "blocked")
+    return neardup.near_pairs(rows, None, 20, "broad")
 
 
 @query("document_content_groups", "select sha256(text) as digest, count(*) as n, count(distinct source) as n_sources, count(distinct lang) as n_langs from documents where text is not null group by 1 having count(*) > 1")

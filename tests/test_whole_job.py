@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from mullion.llm import components, sentences
-from mullion.operators import generators
+from mullion.operators import generators, neardup
 from tests import oracle
 
 
@@ -137,3 +137,13 @@ def test_dense_tables_up_to_their_bound(spark):
     for size, threshold in ((n + 1, 6), (2017, 4), (10, 3)):
         with pytest.raises(ValueError):
             generators.hash_table(spark, size, "dense", threshold)
+
+
+def test_sign_pairs_beyond_a_broadcast(spark, monkeypatch, tmp_path):
+    rows = [tuple(r) for r in spark.read.parquet(f"{oracle.DATA}/embeddings.parquet").select("vec_id", "embedding").limit(150).collect()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bits = {i: sum(1 << (63 - k) for k in range(64) if v[k] > 0) for i, v in rows}
+    want = {(i, j, (x ^ y).bit_count()) for i, x in bits.items() for j, y in bits.items() if i < j and 1 <= (x ^ y).bit_count() <= 20}
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 100)
+    got = [tuple(r) for r in entry.queries()["embedding_sign_pairs"](spark, str(tmp_path)).collect()]
+    assert want and len(got) == len(want) and set(got) == want
