@@ -33,3 +33,16 @@ def test_names_are_unique():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_core_queries_survive_a_missing_package(monkeypatch):
+    """A None in sys.modules makes an import raise, as a missing package does."""
+    import sys
+
+    for name in [m for m in sys.modules if m == "mullion.llm" or m.startswith("mullion.llm.")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "mullion.llm.queries", None)
+    with pytest.warns(UserWarning, match="no llm queries"):
+        assert set(entry.queries()) == set(QUERIES)
+    with pytest.warns(UserWarning, match="no llm queries"):
+        assert set(entry.oracle_sql()) == set(SQL)

@@ -6,10 +6,8 @@ import json
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from mullion.llm import components, sentences
 from mullion.operators import generators, neardup
 from tests import oracle
 
@@ -70,53 +68,6 @@ def test_extra_records_are_found_and_claimed(spark):
     assert claims and all(got[s][1] == max(x, key=lambda y: y[0])[1] for s, x in claims.items())
 
 
-def test_marks_are_matched_over_a_whole_unit():
-    for n in (5, 100):
-        text = "(" + "The row was read. " * n + "It held.) Then it ended."
-        places = sentences.candidates(text, 0, len(text))
-        assert len(places) == n + 2
-        assert all("in" in f for _, f in places[:n]) and not any("in" in f for _, f in places[n:])
-        assert any(x.startswith("bracket|") for x in places[n][1])
-
-
-def test_deeply_nested_marks_in_time():
-    import time
-
-    began = time.time()
-    text = "(" * 20_000 + "It fell." + ")" * 20_000 + " Then it rained."
-    sentences.candidates(text, 0, len(text))
-    assert time.time() - began < 10
-
-
-@pytest.mark.parametrize("met", ["hub", "record"])
-def test_ids_of_hubs_never_collide(spark, monkeypatch, met):
-    real = F.xxhash64
-
-    def colliding(seed, kind, key):
-        """Under the first seed all hubs have one id, or that of a record."""
-        if not seed._jc.toString() == "0":
-            return real(seed, kind, key)
-        return F.when(F.col(kind) == "hub", F.lit(7).cast("long") if met == "hub" else real(seed, F.lit("record"), F.lit("e"))).otherwise(real(seed, kind, key))
-
-    monkeypatch.setattr(F, "xxhash64", colliding)
-    vertices = spark.createDataFrame([("record", k) for k in "abcde"], "kind string, key string")
-    links = spark.createDataFrame([("record", "a", "hub", "x"), ("record", "b", "hub", "x"), *([("record", "c", "hub", "y"), ("record", "d", "hub", "y")] if met == "hub" else [])], "kind_a string, a string, kind_b string, b string")
-    got = {r.key: r.group_key for r in components.linked_groups(vertices, links).collect()}
-    assert got == {"a": "a", "b": "a", "c": "c", "d": "c" if met == "hub" else "d", "e": "e"}
-
-
-def test_digests_of_any_form_match_as_texts(spark, tmp_path):
-    texts = ["ab" * 32, "AB" * 32, "not hex", "abc", "0abc", "ab" * 32 + "\n", "é", None, "x", "x "]
-    kind = "record_id string, dataset string, split string, sha256 string, phash string"
-    spark.createDataFrame([(f"t{i}", "d", "train", t, None) for i, t in enumerate(texts)], kind).write.parquet(f"{tmp_path}/plantvillage.parquet")
-    spark.createDataFrame([(f"e{i}", "d", "test", t, None) for i, t in enumerate(texts)], kind).write.parquet(f"{tmp_path}/plantdoc.parquet")
-    form = [t and t.lower().strip(" ") for t in texts]
-    want = {(f"e{i}", f"t{j}") for i, x in enumerate(form) for j, y in enumerate(form) if x is not None and x == y}
-    assert {tuple(r) for r in entry.queries()["p2_found"](spark, str(tmp_path)).collect()} == want
-    counts = entry.queries()["p2_counts"](spark, str(tmp_path)).collect()
-    assert [(r.split, r.dataset, r.n_pairs, r.n_records) for r in counts] == [("test", "d", len(want), len({e for e, _ in want}))]
-
-
 @pytest.mark.parametrize("kind", ["dense", "random", "band"])
 def test_benchmark_at_the_survey_sizes_against_all_pairs(spark, kind):
     got = {r.n: (r.found, r.possible, r.strategy) for r in entry.queries()[f"hash_survey_{kind}"](spark, oracle.DATA).collect()}
