@@ -1,31 +1,38 @@
 """Same or near-same records across splits.
 
-Method: the segment join of the edit-distance joins. Evaluation strings are cut into segments; a training string within
-distance k must hold at least one of k+1 segments unchanged, and with s segments at least s-k of them. Training
-substrings at the allowed positions are matched with the segments, and each candidate is verified exactly.
+Method: the segment join of the edit-distance joins. Evaluation strings are cut into k+1 segments; a training string
+within distance k must hold at least one of them unchanged, at an allowed position. Training substrings at the allowed
+positions are matched with the segments, and each candidate is verified by the banded dynamic programme.
+
+edit_segment_join is the operator. Its strings are texts, or strings of 64 bits held as longs, which differ by
+substitutions alone, so that the only allowed position of a segment is its own.
 """
 
 from __future__ import annotations
 
+import gc
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mullion.functions.records import hamming
+from mullion.scale import Scratch
 
-#: Segments tried beyond the k+1 that the distance needs: with k+1+x segments, 1+x of them must match.
-EXTRA = range(0, 6)
-#: Cost of comparing a candidate beside that of moving a row of a segment, for the choice among them.
-CANDIDATE_COST = 0.1
+#: Segments beyond the k+1 that the distance needs: with k+1+x segments, 1+x of them must match.
+EXTRA = range(1, 6)
+#: Cost of verifying a candidate beside that of moving a row of a segment, for the choice among them.
+CANDIDATE_COST = 0.5
+#: Combinations of segments that are joined in one round; a round's rows are gone from the disk before the next.
+ROUND_KEYS = 14
 
 
 def choose_segments(n_train: int, n_eval: int, bits: int) -> int:
-    """How many segments to cut 64 bits into, so that rows moved and candidates compared together cost least.
+    """How many segments to cut 64 bits into, so that rows moved and candidates verified together cost least.
 
     More segments give more combinations per hash, but longer keys and so fewer chance candidates, whose number grows
-    as the product of both sides. Every choice finds the same pairs.
+    as the product of both sides. Every choice finds the same pairs, and holds as much on disk at a time.
     """
 
     def cost(s: int) -> float:
@@ -41,63 +48,83 @@ def _content_bits(segments: int, must: int) -> int:
     return -(-64 // segments) * must
 
 
-def _keys(h: str, segments: int, must: int) -> F.Column:
-    """One row per combination of `must` segments: its mask of segments in the high bits, their contents below."""
+def _keys(h: str, segments: int, masks: list[int], above: int) -> F.Column:
+    """One row per combination of segments: its mask of segments in the high bits, their contents below."""
     cuts = [64 * i // segments for i in range(segments + 1)]
-    above = _content_bits(segments, must)
-    masks = [sum(1 << i for i in c) for c in combinations(range(segments), must)]
-    if len(masks) <= 100:
-        keys = []
-        for m in masks:
-            parts, at = [f"({m}L << {above})"], 0
-            for i in range(segments):
-                if m >> i & 1:
-                    width = cuts[i + 1] - cuts[i]
-                    parts.append(f"((shiftrightunsigned({h}, {cuts[i]}) & {(1 << width) - 1}L) << {at})")
-                    at += width
-            keys.append(f"({' | '.join(parts)})")
-        return F.explode(F.expr(f"array({', '.join(keys)})"))
-    # Too many for generated code: the same by a loop over the segments.
-    content = f"(shiftrightunsigned({h}, element_at(array({', '.join(map(str, cuts))}), i + 1)) & ((1L << {-(-64 // segments)}) - 1) & ((1L << (element_at(array({', '.join(map(str, cuts))}), i + 2) - element_at(array({', '.join(map(str, cuts))}), i + 1))) - 1))"
-    loop = f"aggregate(sequence(0, {segments - 1}), 0L, (a, i) -> if((shiftright(m, i) & 1L) = 1L, (a << {-(-64 // segments)}) | {content}, a))"
-    return F.explode(F.expr(f"transform(array({', '.join(f'{m}L' for m in masks)}), m -> (m << {above}) | {loop})"))
-
-
-def bit_segment_join(train: DataFrame, evaluation: DataFrame, bits: int = 6, segments: int | None = None) -> DataFrame:
-    """Pairs (h_train, h_eval, distance) of distinct 64-bit hashes that differ in at most `bits` bits.
-
-    The segment join for strings of one length under substitutions alone: the allowed position of a segment is its own,
-    and the band of the dynamic programme has width 0, so that verification counts differing bits. With s segments at
-    least s - bits of them are equal in a wanted pair; hashes meet on every combination of so many, and a pair is kept
-    only where its first equal segments meet, hence once. The number of segments follows from the counted hashes.
-
-    Hashes are longs in column h; nulls are left out and repeats count once, so that copies never meet in a bucket.
+    keys = []
+    for m in masks:
+        parts, at = [f"({m}L << {above})"], 0
+        for i in range(segments):
+            if m >> i & 1:
+                width = cuts[i + 1] - cuts[i]
+                parts.append(f"((shiftrightunsigned({h}, {cuts[i]}) & {(1 << width) - 1}L) << {at})")
+                at += width
+        keys.append(f"({' | '.join(parts)})")
+    return F.explode(F.expr(f"array({', '.join(keys)})"))
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Has the shuffle files of what is no longer referred to removed now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _bit_strings(train: DataFrame, evaluation: DataFrame, k: int, segments: int | None) -> DataFrame:
+    """edit_segment_join of strings of 64 bits, held as longs.
+
+    With s segments at least s - k of them are equal in a wanted pair; hashes meet on every combination of so many, and
+    a pair is kept only where its first equal segments meet, hence once. The number of segments follows from the counted
+    hashes. Combinations are joined in rounds, of which only the verified pairs are kept.
+
+    A candidate is verified by the banded programme over its 16 hexadecimal digits, of which no more than k can differ,
+    over its 64 bits, and by counting the substitutions.
     """
-    if not 0 <= bits <= 12:
-        raise ValueError("bits must be from 0 to 12")
-    t, e = train.select("h").where("h is not null").distinct(), evaluation.select("h").where("h is not null").distinct()
+    if not 0 <= k <= 12:
+        raise ValueError("k must be from 0 to 12 for bits")
+    spark = train.sparkSession
+    scratch = Scratch(spark)
+    t = scratch.keep(train.select("h").where("h is not null").distinct(), "train")
+    e = scratch.keep(evaluation.select("h").where("h is not null").distinct(), "eval")
+    n_train, n_eval = t.count(), e.count()
     if segments is None:
-        n = train.agg(F.approx_count_distinct("h")).head()[0], evaluation.agg(F.approx_count_distinct("h")).head()[0]
-        segments = choose_segments(max(1, n[0]), max(1, n[1]), bits)
-    must = segments - bits
-    if not 1 <= must <= 16 - bits or _content_bits(segments, must) + segments > 63:
+        segments = choose_segments(max(1, n_train), max(1, n_eval), k)
+    must = segments - k
+    above = _content_bits(segments, must)
+    if not 1 <= must <= 16 - k or above + segments > 63:
         raise ValueError("no such number of segments")
-    t = t.select(F.col("h").alias("h_train"), _keys("h", segments, must).alias("key"))
-    e = e.select(F.col("h").alias("h_eval"), _keys("h", segments, must).alias("key"))
-    near = t.join(e, "key").where(hamming(F.col("h_train"), F.col("h_eval")) <= bits)
     cuts = [64 * i // segments for i in range(segments + 1)]
+    masks = [sum(1 << i for i in c) for c in combinations(range(segments), must)]
     equal = " | ".join(f"if((shiftrightunsigned(h_train ^ h_eval, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L) = 0, {1 << i}L, 0L)" for i in range(segments))
-    mask = near.select("h_train", "h_eval", F.expr(f"({equal})").alias("equal"), F.expr(f"shiftrightunsigned(key, {_content_bits(segments, must)})").alias("m"))
-    for step in (1, 2, 4, 8):
-        # All bits up to the combination's highest, one doubling at a time.
-        mask = mask.withColumn("upto", F.expr(f"{'m' if step == 1 else 'upto'} | shiftrightunsigned({'m' if step == 1 else 'upto'}, {step})"))
-    once = mask.where("(equal & upto) = m")
-    return once.select("h_train", "h_eval", hamming(F.col("h_train"), F.col("h_eval")).alias("distance"))
-
-
-def edit_segment_join(train: DataFrame, evaluation: DataFrame, k: int) -> DataFrame:
+    digits = f"levenshtein(lpad(hex(h_train), 16, '0'), lpad(hex(h_eval), 16, '0'), {k}) >= 0"
+    symbols = f"levenshtein(lpad(bin(h_train), 64, '0'), lpad(bin(h_eval), 64, '0'), {k}) >= 0"
+    kept = []
+    for at in range(0, len(masks), ROUND_KEYS):
+        some = masks[at : at + ROUND_KEYS]
+        a = t.select(F.col("h").alias("h_train"), _keys("h", segments, some, above).alias("key"))
+        b = e.select(F.col("h").alias("h_eval"), _keys("h", segments, some, above).alias("key"))
+        near = a.join(b, "key").where(digits).where(symbols).where(hamming(F.col("h_train"), F.col("h_eval")) <= k)
+        mask = near.select("h_train", "h_eval", F.expr(f"({equal})").alias("equal"), F.expr(f"shiftrightunsigned(key, {above})").alias("m"))
+        for step in (1, 2, 4, 8):
+            # All bits up to the combination's highest, one doubling at a time.
+            mask = mask.withColumn("upto", F.expr(f"{'m' if step == 1 else 'upto'} | shiftrightunsigned({'m' if step == 1 else 'upto'}, {step})"))
+        once = mask.where("(equal & upto) = m")
+        kept.append(scratch.keep(once.select("h_train", "h_eval", hamming(F.col("h_train"), F.col("h_eval")).alias("distance")), "pairs"))
+        del a, b, near, mask, once
+        if len(masks) > ROUND_KEYS:
+            _free_shuffles(spark)
+    scratch.drop(t, e)
+    out = kept[0]
+    for x in kept[1:]:
+        out = out.unionAll(x)
+    return out
+
+
+def edit_segment_join(train: DataFrame, evaluation: DataFrame, k: int, bits: bool = False, segments: int | None = None) -> DataFrame:
     """Pairs (s_train, s_eval, distance) of distinct strings (column s) within edit distance k.
 
+    With bits, the strings are of 64 bits, held as longs in a column h, and differ by substitutions alone: pairs
+    (h_train, h_eval, distance) that differ in at most k bits. `segments` forces their number there; it changes no row.
+
     Every evaluation string is cut into k+1 segments. A training string of length m looks for segment i of strings of
     each length n from m-k to m+k, at positions that differ from the segment's own by at most k and by no more than
     the edits left on either side allow. Candidates are verified by the banded dynamic programme of levenshtein with
@@ -106,6 +133,8 @@ def edit_segment_join(train: DataFrame, evaluation: DataFrame, k: int) -> DataFr
 
     Nulls are left out, repeats count once; long texts are compared whole.
     """
+    if bits:
+        return _bit_strings(train, evaluation, k, segments)
     if k < 0:
         raise ValueError("k must not be negative")
     parts = k + 1
@@ -128,6 +157,19 @@ def edit_segment_join(train: DataFrame, evaluation: DataFrame, k: int) -> DataFr
     return found.select("s_train", "s_eval", F.levenshtein("s_train", "s_eval", k).alias("distance")).where("distance >= 0")
 
 
+def near_classes(records: DataFrame, bits: int = 6) -> DataFrame:
+    """(h_train, h_eval, distance, n_train, n_eval): classes of equal hash that are near across the splits.
+
+    One row per pair of hashes with the numbers of records that hold each, so that copies are counted instead of spread
+    into all their pairs; membership is the records' own hash. Readings as in cross_split_pairs.
+    """
+    rows = records.where(F.col("side").isin("train", "eval") & F.col("record_id").isNotNull() & F.col("h").isNotNull()).select("record_id", "side", "h").distinct()
+    n = rows.groupBy("side", "h").agg(F.count(F.lit(1)).alias("n"))
+    near = edit_segment_join(rows.where("side = 'train'"), rows.where("side = 'eval'"), bits, bits=True)
+    a, b = (n.where(f"side = '{s}'").select(F.col("h").alias(f"h_{s}"), F.col("n").alias(f"n_{s}")) for s in ("train", "eval"))
+    return near.join(a, "h_train").join(b, "h_eval").select("h_train", "h_eval", "distance", "n_train", "n_eval")
+
+
 def cross_split_pairs(records: DataFrame, bits: int = 6) -> DataFrame:
     """Pairs (record_id_a, record_id_b, digest_equal, distance) of a training and an evaluation record.
 
@@ -141,7 +183,7 @@ def cross_split_pairs(records: DataFrame, bits: int = 6) -> DataFrame:
     same = train.where("digest is not null").select(F.col("record_id").alias("t"), "digest").distinct().join(
         held.where("digest is not null").select(F.col("record_id").alias("e"), "digest").distinct(), "digest"
     )
-    near = bit_segment_join(train, held, bits)
+    near = edit_segment_join(train, held, bits, bits=True)
     by_hash = near.join(train.select(F.col("record_id").alias("t"), F.col("h").alias("h_train")).distinct(), "h_train").join(
         held.select(F.col("record_id").alias("e"), F.col("h").alias("h_eval")).distinct(), "h_eval"
     )

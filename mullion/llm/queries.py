@@ -42,6 +42,20 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("record_id_a", "record_id_b")
 
 
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Near hashes across splits with the numbers of records that hold them, as texts of 16 digits."""
+    rows = Scratch(spark).keep(_records(spark, sf).select("record_id", "side", "h").distinct(), "records")
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
+    return overlap.near_classes(rows).select(text("h_train"), text("h_eval"), "distance", "n_train", "n_eval")
+
+
+def p2_edit_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of hashes of training and evaluation records within two edits, insertions and deletions too."""
+    rows = _records(spark, sf).where("h is not null").select("side", F.lower(F.lpad(F.hex("h"), 16, "0")).alias("s")).distinct()
+    rows = Scratch(spark).keep(rows, "texts")
+    return overlap.edit_segment_join(rows.where("side = 'train'"), rows.where("side = 'eval'"), 2)
+
+
 def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping pairs per evaluation split and dataset of the evaluation record."""
     pairs = _pairs(spark, sf)
@@ -139,6 +153,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
+    "p2_classes": p2_classes,
+    "p2_edit_hashes": p2_edit_hashes,
     "p5_found": p5_found,
     "p5_assigned": p5_assigned,
     "p6_ids": p6_ids,
@@ -166,6 +182,13 @@ e as (select a, b from l where a is not null and b is not null union select b, a
 r as (select k as s, k as k from n union select r.s, e.b from r join e on r.k = e.a)
 select min(k) as group_path, s as record_path from r group by s""",
     "p2_found": f"with {_P2} select * from p",
+    "p2_classes": f"""with {_P2.partition("p as (select")[0].rstrip().rstrip(",")},
+c as (select split = 'train' as t, h, count(distinct record_id) as n from r where split is not null and h is not null and record_id is not null group by 1, 2)
+select printf('%016x', a.h) as h_train, printf('%016x', b.h) as h_eval, cast(bit_count(xor(a.h, b.h)) as int) as distance, a.n as n_train, b.n as n_eval
+from c a, c b where a.t and not b.t and bit_count(xor(a.h, b.h)) <= 6""",
+    "p2_edit_hashes": f"""with {_P2.partition("p as (select")[0].rstrip().rstrip(",")},
+s as (select distinct split = 'train' as t, printf('%016x', h) as s from r where split is not null and h is not null)
+select a.s as s_train, b.s as s_eval, cast(levenshtein(a.s, b.s) as int) as distance from s a, s b where a.t and not b.t and levenshtein(a.s, b.s) <= 2""",
     "p2_counts": f"""with {_P2},
 s as (select record_id_a as id, record_id_b as other from p union all select record_id_b, record_id_a from p),
 h as (select distinct record_id as id, split, dataset from r where split in ('val', 'test'))

@@ -115,7 +115,7 @@ def test_bit_join_finds_the_same_with_any_number_of_segments(spark, segments):
 
     a, b = some(60), some(60)
     frame = lambda x: spark.createDataFrame([(signed(h),) for h in x] + [(None,)], "h long")
-    got = [tuple(x) for x in overlap.bit_segment_join(frame(a), frame(b), 6, segments).collect()]
+    got = [tuple(x) for x in overlap.edit_segment_join(frame(a), frame(b), 6, bits=True, segments=segments).collect()]
     want = {(signed(x), signed(y), bin(x ^ y).count("1")) for x in a for y in b if bin(x ^ y).count("1") <= 6}
     assert len(got) == len(set(got)) and set(got) == want
 
