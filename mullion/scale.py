@@ -10,9 +10,13 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task of a range or a block is meant for.
+TASK_ROWS = 1_000_000
+#: Ranges at most, so that their totals fit in a broadcast and one small window.
+MOST_PARTS = 100_000
 #: A side is broadcast only if it is known to have no more rows than this.
 BROADCAST_ROWS = 200_000
 
@@ -35,13 +39,23 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut the lineage and survive a lost executor.
 
-    Tables are removed by drop(), the rest when the driver ends.
+    Tables are removed by drop() once nothing reads them any more, the rest when the driver ends; used as a context, at
+    its end, for results that are written within it.
     """
 
+    #: Folders that are still there, removed when the driver ends.
+    _open: set[Scratch] = set()
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/mullion-{uuid.uuid4().hex}"
-        atexit.register(self.drop_all)
+        Scratch._open.add(self)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop_all()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -50,29 +64,51 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back."""
+        return self.keep_counted(df, name)[0]
+
+    def keep_counted(self, df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, int, *tuple]:
+        """keep(), the number of rows, and further aggregates over them, all of which the write counts as it goes."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        seen = Observation()
+        marked = df.observe(seen, F.count(F.lit(1)).alias("_n"), *[c.alias(f"_m{i}") for i, c in enumerate(more)])
+        marked.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._mullion_path = path
-        return out
+        values = seen.get
+        if "_n" not in values:
+            # A plan that is known to be empty is not run, so nothing was counted.
+            values = out.agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_m{i}") for i, c in enumerate(more)]).head().asDict()
+        return out, values["_n"], *[values[f"_m{i}"] for i in range(len(more))]
 
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             if path := getattr(t, "_mullion_path", None):
                 self._delete(path)
 
     def drop_all(self) -> None:
+        Scratch._open.discard(self)
         try:
             self._delete(self.root)
         except Exception:  # noqa: BLE001 - the session may have ended before
             pass
 
 
+@atexit.register
+def _drop_open() -> None:
+    for s in list(Scratch._open):
+        s.drop_all()
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are under the bound; else unchanged, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def parts_for(rows: int) -> int:
+    """Ranges or blocks for so many rows, so that a task has about TASK_ROWS of them."""
+    return max(8, min(MOST_PARTS, -(-rows // TASK_ROWS)))
+
+
 def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], blocks: int, name: str = "rank") -> DataFrame:
     """Adds the 0-based rank of each row within its key, without one task per key.
 
@@ -105,14 +141,22 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], scratch: Scratch, parts: int = 32) -> DataFrame:
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], scratch: Scratch, parts: int | None = None) -> DataFrame:
     """Adds running sums over one total order, without one task for all rows.
 
-    Rows are range-partitioned by the order and kept; each range gets the totals of the ranges before it, of which there
-    are at most `parts`, and sums within the range are a window per range.
+    Rows are kept, which counts them; the number of ranges follows the count unless `parts` is given. They are then
+    range-partitioned by the order and kept; each range gets the totals of the ranges before it, and sums within the
+    range are a window per range.
     """
     cols = {f"_s{i}": c for i, c in enumerate(sums.values())}
-    kept = scratch.keep(df.select("*", *[c.alias(n) for n, c in cols.items()]).repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    rows = df.select("*", *[c.alias(n) for n, c in cols.items()])
+    if parts is None:
+        source, n = scratch.keep_counted(rows, "rows")[:2]
+        parts = parts_for(n)
+    else:
+        source = rows
+    kept = scratch.keep(source.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    scratch.drop(source)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     totals = kept.groupBy("_p").agg(*[F.sum(n).alias(n) for n in cols])
     starts = totals.select(F.col("_p").alias("_q"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}b") for n in cols])
