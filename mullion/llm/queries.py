@@ -19,8 +19,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _table(spark, sf, "leakage_plantvillage_vs_plantdoc_pairs").select(normal_path(F.col("training_relpath")).alias("a"), normal_path(F.col("evaluation_relpath")).alias("b"))
     members = _table(spark, sf, "plantdoc_internal_duplicate_resolution").select(normal_path(F.col("active_relative_path")).alias("a"), F.nullif(F.trim("group_id"), F.lit("")).alias("b"))
     record, hub = F.lit("record"), F.lit("hub")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionAll(members.select(F.col("a").alias("key")))
     links = pairs.select(record.alias("kind_a"), "a", record.alias("kind_b"), "b").unionAll(members.select(record, "a", hub, "b"))
+    # Kept once, so that paths are brought to their form once.
+    links = Scratch(spark).keep(links, "named")
+    named = links.select(F.explode(F.array("a", F.when(F.col("kind_b") == "record", F.col("b")))).alias("key"))
     groups = components.linked_groups(named.select(record.alias("kind"), "key"), links)
     return groups.select(F.col("group_key").alias("group_path"), F.col("key").alias("record_path"))
 

@@ -75,6 +75,29 @@ def test_long_chain_is_contracted(spark):
     assert set(groups_of(spark, keys, links).values()) == {"x00"}
 
 
+@pytest.mark.parametrize("rounds", [1, 3, 16])
+def test_search_that_ends_early_gives_the_same(spark, rounds):
+    """Two layers beyond a hub, a long tail behind them, and small components; few rounds leave the rest to the minima."""
+    links = [("hub", f"m{i}") for i in range(30)] + [(f"m{i}", f"n{i}") for i in range(30)] + [(f"t{i:02}", f"t{i + 1:02}") for i in range(25)] + [("n3", "t00"), ("p", "q")]
+    keys = sorted({x for e in links for x in e})
+    v = spark.createDataFrame([("record", k) for k in keys], "kind string, key string")
+    e = spark.createDataFrame([("record", a, "record", b) for a, b in links], "kind_a string, a string, kind_b string, b string")
+    assert {r.key: r.group_key for r in components.linked_groups(v, e, rounds).collect()} == brute_groups(set(keys), links)
+
+
+def test_ordered_ids_need_few_rounds(spark):
+    """A chain in the order of its ids: hooks to the least id would take two vertices a round."""
+    chain = spark.range(4000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert components.propagate_minima(chain, Scratch(spark), 20).select("label").distinct().count() == 1
+
+
+def test_mixing_is_undone(spark):
+    rows = spark.sql("select x from values (0L), (1L), (-1L), (9223372036854775807L), (-9223372036854775807L), (123456789L) as t(x)")
+    mixed = rows.select("x", F.expr(components._shifted("x", components.MIX)).alias("m"))
+    assert mixed.where(F.expr(components._shifted("m", components.UNMIX)) != F.col("x")).isEmpty()
+    assert mixed.select("m").distinct().count() == 6
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
