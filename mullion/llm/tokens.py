@@ -8,11 +8,12 @@ block in one row, which combines repeats before anything is shuffled.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from mullion.scale import Scratch
 
 #: Documents and characters of a block; a longer document is a block of its own.
-BLOCK_DOCS, BLOCK_CHARS = 256, 1_000_000
+BLOCK_DOCS, BLOCK_CHARS = 1024, 4_000_000
+#: Pieces of texts whose words a task remembers at a time.
+REMEMBERED = 200_000
 #: Words with at least this share of all positions are joined by broadcast; at most 1 / HOT_SHARE words can have it.
 HOT_SHARE = 0.001
 
@@ -45,28 +48,68 @@ def _tokenizer(path: str):
     return tok
 
 
-def _splitter():
+@lru_cache(maxsize=1)
+def _splitter() -> Callable[[str], list[str]]:
+    """The pre-tokens of a text."""
     import public_tokenizers
     import regex
 
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
+@lru_cache(maxsize=1)
+def _cutter() -> Callable[[str], list[str]]:
+    """Cuts a text before every blank that a character other than white space follows; the blank itself is left out.
+
+    No pre-token reaches over such a place, whatever stands around it: one that begins with a blank begins there, and
+    white space before it is a pre-token that ends there. So pieces have their words by themselves, and as most come
+    again and again, few texts need the pattern.
+    """
+    import regex
+
+    white = "".join(regex.findall(r"\s", "".join(map(chr, range(0xD800)))))
+    double, cut = re.compile(f" (?:[{white}]|$)"), re.compile(f" (?=[^{white}])")
+    return lambda text: cut.split(text) if double.search(text) else text.split(" ")
+
+
+class _Remembered(dict):
+    """A function's values by piece; when there are too many they are forgotten."""
+
+    def __init__(self, f: Callable):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, piece: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[piece] = self.f(piece)
+        return value
+
+
 _WORDS = pa.schema([("block", pa.int64()), ("word", pa.string()), ("at", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64()))])
 
 
-def _block_rows(block: int, ids: list[int], texts: list[str | None], split) -> pa.RecordBatch:
+def _block_rows(block: int, ids: list[int], texts: list[str | None], words_of: _Remembered) -> pa.RecordBatch:
     """One row per distinct word of the block with its positions, and one frame row with the documents' lengths.
 
     The frame has a null word; its docs are the document ids, its positions the numbers of words of each.
     """
     code: dict[str, int] = {}
     all_codes: list[int] = []
-    counts = []
+    counts, cut = [], _cutter()
+
+    def coded(piece: str) -> list[int]:
+        return [code.setdefault(w, len(code)) for w in words_of[piece]]
+
+    # Pieces after the first begin with the blank that the cut left out.
+    after = _Remembered(lambda piece: coded(" " + piece))
     for text in texts:
-        words = split(text) if text else ()
-        counts.append(len(words))
-        all_codes.extend([code.setdefault(w, len(code)) for w in words])
+        before = len(all_codes)
+        if text:
+            first, *rest = cut(text)
+            all_codes.extend(coded(first))
+            all_codes.extend(chain.from_iterable(map(after.__getitem__, rest)))
+        counts.append(len(all_codes) - before)
     codes = np.asarray(all_codes, dtype=np.int64)
     order = np.argsort(codes, kind="stable").astype(np.int32)
     sizes = np.bincount(codes, minlength=len(code)) if len(code) else np.zeros(0, dtype=np.int64)
@@ -77,7 +120,7 @@ def _block_rows(block: int, ids: list[int], texts: list[str | None], split) -> p
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split, part = _splitter(), TaskContext.get().partitionId()
+    words_of, part = _Remembered(_splitter()), TaskContext.get().partitionId()
     k, ids, texts, chars = 0, [], [], 0
 
     def number() -> int:
@@ -87,13 +130,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             n = len(text or "")
             if ids and (len(ids) >= BLOCK_DOCS or chars + n > BLOCK_CHARS):
-                yield _block_rows(number(), ids, texts, split)
+                yield _block_rows(number(), ids, texts, words_of)
                 k, ids, texts, chars = k + 1, [], [], 0
             ids.append(i)
             texts.append(text)
             chars += n
     if ids:
-        yield _block_rows(number(), ids, texts, split)
+        yield _block_rows(number(), ids, texts, words_of)
 
 
 def _encode_words(path: str):
@@ -141,8 +184,8 @@ def encode(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = scratch.keep(source.mapInArrow(_blocks, "block long, word string, at array<int>, docs array<long>"), "words")
     distinct = words.where("word is not null").groupBy("word").agg(F.sum(F.size("at")).alias("n"))
-    coded = scratch.keep(distinct.mapInArrow(_encode_words(path), "word string, ids array<int>, n long"), "dictionary")
-    total = coded.agg(F.sum("n")).head()[0] or 0
+    coded, _, total = scratch.keep_counted(distinct.mapInArrow(_encode_words(path), "word string, ids array<int>, n long"), "dictionary", F.sum("n"))
+    total = total or 0
     hot = coded.where(F.col("n") >= F.lit(total * HOT_SHARE)).select("word", F.col("ids").alias("hot_ids"))
     marked = words.where("word is not null").join(F.broadcast(hot), "word", "left")
     common = marked.where("hot_ids is not null").select("block", "word", "at", F.col("hot_ids").alias("ids"))
@@ -153,44 +196,53 @@ def encode(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     return rows.groupBy("block").applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
-def token_bytes(spark, path: str) -> DataFrame:
-    """(id, bytes): the bytes of every token of a byte-level vocabulary."""
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> pa.Array:
+    """The bytes of every token of a byte-level vocabulary by id; no bytes for ids that it lacks."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
     back = {c: b for b, c in letter.items()}
-    vocab = _tokenizer(path).get_vocab(with_added_tokens=False)
-    return spark.createDataFrame(pd.DataFrame([(i, bytes(back[c] for c in t)) for t, i in vocab.items() if all(c in back for c in t)], columns=["id", "bytes"]), "id int, bytes binary")
+    held = {i: bytes(back[c] for c in t) for t, i in _tokenizer(path).get_vocab(with_added_tokens=False).items() if all(c in back for c in t)}
+    return pa.array([held.get(i, b"") for i in range(max(held) + 1)], pa.large_binary())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids) by joining the table of the tokens' bytes, whose size is the vocabulary's.
+    """(doc_id, text) from (doc_id, ids): each batch's ids are looked up in the table of the tokens' bytes.
 
-    An empty list gives an empty text; a null list a null. Ids that the vocabulary lacks give nothing.
+    The table's size is the vocabulary's, so that nothing is shuffled. An empty list gives an empty text; a null list a
+    null. Null ids and ids that the vocabulary lacks give nothing.
     """
-    table = token_bytes(encoded.sparkSession, path)
-    pieces = encoded.select("doc_id", F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id")
-    whole = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("p"))
-    joined = whole.select("doc_id", F.decode(F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["bytes"])), "")), "UTF-8").alias("joined"))
-    return encoded.select("doc_id", F.col("ids").isNull().alias("none")).join(joined, "doc_id", "left").select("doc_id", F.when(~F.col("none"), F.coalesce("joined", F.lit(""))).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for batch in batches:
+            lists = batch.column(1)
+            ids = lists.flatten()
+            known = pa.compute.if_else(pa.compute.and_kleene(pa.compute.greater_equal(ids, 0), pa.compute.less(ids, len(table))), ids, None)
+            pieces = pa.compute.fill_null(table.take(known), b"")
+            sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(pieces), dtype=np.int64))))
+            whole = b"".join(pieces.to_pylist())
+            ends = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), dtype=np.int64))))
+            places = sizes[ends]
+            texts = [whole[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(places, places[1:], lists.is_valid().to_pylist())]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def token_counts(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens) without a shuffle, for operators that need sizes only; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, split = _tokenizer(path), _splitter()
-        size: dict[str, int] = {}
+        tok, split, cut = _tokenizer(path), _splitter(), _cutter()
+        size = _Remembered(lambda word: len(tok.encode(word, add_special_tokens=False).ids))
+        first = lambda piece: sum(map(size.__getitem__, split(piece)))
+        after = _Remembered(lambda piece: first(" " + piece))
         for batch in batches:
             counts = []
             for x in batch.column(1).to_pylist():
-                words = split(x) if x else ()
-                fresh = [w for w in dict.fromkeys(words) if w not in size]
-                if fresh:
-                    if len(size) > 500_000:
-                        size.clear()
-                        fresh = list(dict.fromkeys(words))
-                    size.update(zip(fresh, (len(e) for e in tok.encode_batch_fast(fresh, add_special_tokens=False))))
-                counts.append(sum(map(size.__getitem__, words)))
+                head, *rest = cut(x or "")
+                counts.append(first(head) + sum(map(after.__getitem__, rest)))
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")

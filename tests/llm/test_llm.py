@@ -247,6 +247,22 @@ def test_encode_equals_the_tokenizer_and_decodes(spark):
     assert tokens.encode(df.limit(0), path).count() == 0
 
 
+def test_pieces_have_the_words_of_the_whole():
+    r = random.Random(3)
+    split, cut = tokens._splitter(), tokens._cutter()
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "é", "1", "²", "'s", "'", " ", " ", "  ", "\n", "\t", "\u3000", "\x1c", "\x85", "花", "!", "\u0301"]) for _ in range(r.randint(0, 14)))
+        first, *rest = cut(text)
+        assert split(first) + [w for p in rest for w in split(" " + p)] == split(text), repr(text)
+
+
+def test_decode_of_odd_lists(spark):
+    path = tokens.vocabulary_path()
+    rows = spark.createDataFrame([(1, [15496, 99]), (2, None), (3, []), (4, [10**8, -1, None, 15496])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in tokens.decode(rows, path).collect()}
+    assert got == {1: tokens._tokenizer(path).decode([15496, 99]), 2: None, 3: "", 4: tokens._tokenizer(path).decode([15496])}
+
+
 def test_whole_table_ids_equal_the_tokenizer(spark):
     tok = tokens._tokenizer(tokens.vocabulary_path())
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
