@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,21 +62,28 @@ def group_scores(probs: Column, groups: Sequence[Sequence[int]]) -> tuple[Column
     return F.transform(sums, lambda x: x / F.greatest(mass, F.lit(1e-12))), mass
 
 
+def temperature_losses(pred: DataFrame, temperatures: Sequence[float]) -> list[tuple[float, float]]:
+    """(temperature, mean likelihood loss) of (y_true, logits) at each of the temperatures, in one pass over the table.
+
+    Rows without a label are left out; without any others it raises.
+    """
+    top = F.array_max("logits")
+    rows = pred.where("y_true is not null").select(F.transform(F.array(top), lambda m: F.transform("logits", lambda x: x - m))[0].alias("d"), "y_true").select("d", F.element_at("d", F.col("y_true") + 1).alias("own"))
+    loss = rows.agg(*[F.avg(F.ln(F.aggregate("d", F.lit(0.0), (lambda t: lambda s, x: s + F.exp(x / F.lit(t)))(float(t)))) - F.col("own") / F.lit(float(t))).alias(f"t{i}") for i, t in enumerate(temperatures)]).head()
+    values = [loss[f"t{i}"] for i in range(len(temperatures))]
+    if any(v is None or math.isnan(v) for v in values):
+        raise ValueError("no rows to fit on")
+    return [(float(t), v) for t, v in zip(temperatures, values)]
+
+
 def fit_temperature(pred: DataFrame, rounds: int = 4, low: float = 0.05, high: float = 20.0, points: int = 17) -> float:
     """The temperature of least mean likelihood loss of (y_true, logits), by grids that narrow around the best point.
 
     Each round is one aggregate over the table for all points of its grid, so rounds, not points, read the data.
     """
-    import math
-
-    top = F.array_max("logits")
-    rows = pred.where("y_true is not null").select(F.transform(F.array(top), lambda m: F.transform("logits", lambda x: x - m))[0].alias("d"), "y_true").select("d", F.element_at("d", F.col("y_true") + 1).alias("own"))
     for _ in range(rounds):
         grid = [low * (high / low) ** (i / (points - 1)) for i in range(points)]
-        loss = rows.agg(*[F.avg(F.ln(F.aggregate("d", F.lit(0.0), (lambda t: lambda s, x: s + F.exp(x / F.lit(t)))(t))) - F.col("own") / F.lit(t)).alias(f"t{i}") for i, t in enumerate(grid)]).head()
-        values = [loss[f"t{i}"] for i in range(points)]
-        if any(v is None or math.isnan(v) for v in values):
-            raise ValueError("no rows to fit on")
+        values = [x for _, x in temperature_losses(pred, grid)]
         k = min(range(points), key=values.__getitem__)
         low, high = grid[max(0, k - 1)], grid[min(points - 1, k + 1)]
     return math.sqrt(low * high)

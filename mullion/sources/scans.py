@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,28 +44,113 @@ def relative(path: Column, root: str) -> Column:
 _SHAPE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("mode", T.StringType()), T.StructField("is_corrupt", T.BooleanType())])
 
 
+def _png(b: bytes) -> tuple[int, int, str]:
+    """Every chunk's checksum is proved, and the pixels unpacked to their full length."""
+    at, packed, head = 8, [], None
+    while True:
+        size, kind = int.from_bytes(b[at : at + 4], "big"), b[at + 4 : at + 8]
+        body = b[at + 8 : at + 8 + size]
+        if len(body) < size or zlib.crc32(kind + body) != int.from_bytes(b[at + 8 + size : at + 12 + size], "big"):
+            raise ValueError("broken chunk")
+        if kind == b"IHDR":
+            head = body
+        elif kind == b"IDAT":
+            packed.append(body)
+        elif kind == b"IEND":
+            break
+        at += 12 + size
+    w, h, depth, colour, lace = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12]
+    per = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    if not lace and len(zlib.decompress(b"".join(packed))) != h * (1 + -(-w * per * depth // 8)):
+        raise ValueError("too few pixels")
+    mode = {0: "1" if depth == 1 else "I;16" if depth == 16 else "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}[colour]
+    return w, h, mode
+
+
+def _jpeg(b: bytes) -> tuple[int, int, str]:
+    """The frame's size; a file is whole if its scan begins and an end marker follows it."""
+    at, size = 2, None
+    while True:
+        if b[at] != 0xFF:
+            raise ValueError("no marker")
+        marker, n = b[at + 1], int.from_bytes(b[at + 2 : at + 4], "big")
+        if marker == 0xFF:
+            at += 1
+            continue
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            size = int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big"), {1: "L", 3: "RGB", 4: "CMYK"}[b[at + 9]]
+        if marker == 0xDA:
+            if size is None or b.find(b"\xff\xd9", at) < 0:
+                raise ValueError("no end")
+            return size
+        at += 2 + n
+
+
+def _gif(b: bytes) -> tuple[int, int, str]:
+    if b.rstrip(b"\0")[-1:] != b";":
+        raise ValueError("no end")
+    return int.from_bytes(b[6:8], "little"), int.from_bytes(b[8:10], "little"), "P"
+
+
+def _bmp(b: bytes) -> tuple[int, int, str]:
+    w, h, depth = int.from_bytes(b[18:22], "little"), abs(int.from_bytes(b[22:26], "little", signed=True)), int.from_bytes(b[28:30], "little")
+    if int.from_bytes(b[30:34], "little") == 0 and len(b) < int.from_bytes(b[10:14], "little") + h * (-(-w * depth // 32) * 4):
+        raise ValueError("too few pixels")
+    return w, h, {1: "1", 4: "P", 8: "P", 16: "RGB", 24: "RGB", 32: "RGBA"}[depth]
+
+
+def _webp(b: bytes) -> tuple[int, int, str]:
+    """The three kinds of first chunk: lossy, lossless, extended."""
+    if len(b) < 8 + int.from_bytes(b[4:8], "little"):
+        raise ValueError("too short")
+    kind, body = b[12:16], b[20:]
+    if kind == b"VP8 " and body[3:6] == b"\x9d\x01\x2a":
+        return int.from_bytes(body[6:8], "little") & 0x3FFF, int.from_bytes(body[8:10], "little") & 0x3FFF, "RGB"
+    if kind == b"VP8L" and body[0] == 0x2F:
+        bits = int.from_bytes(body[1:5], "little")
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, "RGBA" if bits >> 28 & 1 else "RGB"
+    if kind == b"VP8X":
+        return int.from_bytes(body[4:7], "little") + 1, int.from_bytes(body[7:10], "little") + 1, "RGBA" if body[0] & 16 else "RGB"
+    raise ValueError("no picture")
+
+
+def _tiff(b: bytes) -> tuple[int, int, str]:
+    """The first directory; every strip or tile of pixels has to lie within the file."""
+    order = "little" if b[:2] == b"II" else "big"
+    at = int.from_bytes(b[4:8], order)
+    tags: dict[int, list[int]] = {}
+    for k in range(int.from_bytes(b[at : at + 2], order)):
+        e = b[at + 2 + 12 * k : at + 14 + 12 * k]
+        width, n = {1: 1, 3: 2, 4: 4}.get(int.from_bytes(e[2:4], order)), int.from_bytes(e[4:8], order)
+        if width:
+            held = e[8:12] if width * n <= 4 else b[int.from_bytes(e[8:12], order) :][: width * n]
+            tags[int.from_bytes(e[:2], order)] = [int.from_bytes(held[width * i : width * i + width], order) for i in range(n)]
+    for where, length in ((273, 279), (324, 325)):
+        if any(x + y > len(b) for x, y in zip(tags.get(where, ()), tags.get(length, ()))):
+            raise ValueError("too short")
+    if 273 not in tags and 324 not in tags:
+        raise ValueError("no pixels")
+    per, kind, depth = tags.get(277, [1])[0], tags.get(262, [1])[0], tags.get(258, [1])[0]
+    mode = "P" if kind == 3 else "CMYK" if kind == 5 else {1: "1" if depth == 1 else "I;16" if depth == 16 else "L", 2: "LA", 3: "RGB", 4: "RGBA"}[per]
+    return tags[256][0], tags[257][0], mode
+
+
+#: First bytes of a file, and what reads the rest.
+FORMATS = ((b"\x89PNG\r\n\x1a\n", _png), (b"\xff\xd8", _jpeg), (b"GIF87a", _gif), (b"GIF89a", _gif), (b"BM", _bmp), (b"II*\0", _tiff), (b"MM\0*", _tiff))
+
+
 @F.pandas_udf(_SHAPE)
 def image_shape(content: pd.Series) -> pd.DataFrame:
-    """Size and mode from the header of PNG, GIF, BMP and JPEG bytes; anything else or anything broken is corrupt."""
+    """Size and mode of PNG, JPEG, GIF, BMP, TIFF and WebP bytes; anything else, cut off or broken is corrupt."""
 
     def one(b: bytes | None) -> tuple:
         try:
-            if b[:8] == b"\x89PNG\r\n\x1a\n" and b[12:16] == b"IHDR" and b.rstrip(b"\0").endswith(b"IEND\xaeB`\x82"):
-                mode = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}[b[25]]
-                return int.from_bytes(b[16:20], "big"), int.from_bytes(b[20:24], "big"), mode, False
-            if b[:6] in (b"GIF87a", b"GIF89a"):
-                return int.from_bytes(b[6:8], "little"), int.from_bytes(b[8:10], "little"), "P", False
-            if b[:2] == b"BM":
-                return int.from_bytes(b[18:22], "little"), abs(int.from_bytes(b[22:26], "little", signed=True)), "RGB", False
-            if b[:2] == b"\xff\xd8":
-                at = 2
-                while at + 9 < len(b):
-                    marker, size = b[at + 1], int.from_bytes(b[at + 2 : at + 4], "big")
-                    if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                        mode = {1: "L", 3: "RGB", 4: "CMYK"}[b[at + 9]]
-                        return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big"), mode, False
-                    at += 2 + size
-        except (IndexError, KeyError, TypeError):
+            for head, read in FORMATS:
+                if b.startswith(head):
+                    return *read(b), False
+            if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
+                return *_webp(b), False
+        except (IndexError, KeyError, TypeError, ValueError, AttributeError, zlib.error):
             pass
         return None, None, None, True
 
@@ -195,3 +281,35 @@ def scope_rows(spark: SparkSession, entries: list[dict], keys: Sequence[str], la
                 raise ValueError(f"{key}: {layer} must be true or false")
     kinds = ", ".join([*(f"{k} string" for k in keys), *(f"{x} boolean" for x in layers)])
     return spark.createDataFrame([tuple(e.get(c) for c in (*keys, *layers)) for e in entries], kinds)
+
+
+def settings_differences(source: dict, derived: dict, may_differ: Sequence[str] = ()) -> list[tuple[str, str, str | None, str | None]]:
+    """(key, outcome, source, derived) of nested settings by dotted keys: added, removed or changed ones.
+
+    Keys that may differ, and those below them, are left out. Values are compared as canonical JSON.
+    """
+
+    def flat(value: object, at: str) -> dict[str, str]:
+        if isinstance(value, dict) and value:
+            return {k: v for name, x in value.items() for k, v in flat(x, f"{at}.{name}" if at else str(name)).items()}
+        return {at: json.dumps(value, sort_keys=True, ensure_ascii=False)}
+
+    a, b = flat(source, ""), flat(derived, "")
+    free = lambda k: any(k == m or k.startswith(m + ".") for m in may_differ)
+    out = [(k, "removed" if k not in b else "added" if k not in a else "changed", a.get(k), b.get(k)) for k in sorted({*a, *b}) if a.get(k) != b.get(k)]
+    return [x for x in out if not free(x[0])]
+
+
+def load_or_build(spark: SparkSession, path: str, build, complete: Column | None = None) -> DataFrame:
+    """The table persisted at `path`, or what build() gives, persisted there first.
+
+    `complete` has to hold for every row, else nothing is persisted and an error raised: an index with holes would pass
+    for one without.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        df = build()
+        if complete is not None and (bad := df.where(~F.coalesce(complete, F.lit(False))).count()):
+            raise ValueError(f"{bad} rows are not complete")
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

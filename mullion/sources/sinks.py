@@ -7,9 +7,11 @@ import hashlib
 import json
 import os
 import tempfile
+import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists") -> str:
@@ -20,7 +22,8 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: S
     if partition_by:
         w = w.partitionBy(*partition_by)
     if kind == "csv":
-        w = w.option("header", True).option("escape", '"').option("emptyValue", "")
+        # Outer blanks are part of a text; without these options they are lost.
+        w = w.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.format(kind).save(path)
     return path
 
@@ -73,3 +76,26 @@ def read_json(path: str, known: Sequence[str] | None = None) -> dict:
     with open(path, encoding="utf-8") as f:
         value = json.load(f)
     return value if known is None else {k: v for k, v in value.items() if k in known}
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> str:
+    """One small file on any file system that Spark knows, replacing an older one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """RGB or grey pixels as a PNG file."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+    h, w = pixels.shape[:2]
+    rows = b"".join(b"\0" + np.ascontiguousarray(r, dtype=np.uint8).tobytes() for r in pixels)
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, 2 if pixels.ndim == 3 else 0, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")

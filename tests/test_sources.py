@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mullion.operators import locks
 from mullion.sources import images, scans, sinks
 from mullion.streaming import windows
 
@@ -136,12 +137,97 @@ def test_stream_deduplication(spark, tmp_path):
     assert sorted(r.k for r in spark.table("once").collect()) == [1, 2]
 
 
-def test_image_measures():
-    a, b = np.zeros((40, 40, 3), np.uint8), np.full((40, 40, 3), 45, np.uint8)
-    assert [images.likeness(a, x) for x in (a, b, b + 60)] == ["alike", "doubtful", "different"]
-    h = images.channel_histogram(b)
+def naive_resized(plane, n, support, shape):
+    """The two passes of a fixed-point filter, one value at a time."""
+    for axis in (1, 0):
+        m = plane.shape[axis]
+        if m == n:
+            continue
+        scale = m / n
+        wide = max(scale, 1.0)
+        lines = plane if axis == 1 else plane.T
+        out = np.zeros((lines.shape[0], n), int)
+        for k in range(n):
+            centre = (k + 0.5) * scale
+            at = range(max(0, int(centre - support * wide + 0.5)), min(m, int(centre + support * wide + 0.5)))
+            w = [shape((i - centre + 0.5) / wide) for i in at]
+            fixed = [int(x / sum(w) * 2**22 + (0.5 if x >= 0 else -0.5)) for x in w]
+            for y in range(lines.shape[0]):
+                v = ((1 << 21) + sum(int(lines[y, i]) * f for i, f in zip(at, fixed))) >> 22
+                out[y, k] = min(255, max(0, v))
+        plane = out if axis == 1 else out.T
+    return plane
+
+
+def test_reductions_against_one_value_at_a_time():
+    import math
+
+    def lobes(x):
+        return 0.0 if abs(x) >= 3 else 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * x / 3)
+
+    plane = np.random.default_rng(2).integers(0, 256, (37, 50))
+    assert (images.resized(plane, 32, "sinc3") == naive_resized(plane, 32, 3.0, lobes)).all()
+    assert (images.resized(plane[:20, :20], 32, "sinc3") == naive_resized(plane[:20, :20], 32, 3.0, lobes)).all()
+    flat = np.full((9, 70), 45)
+    assert (images.resized(flat, 32, "cubic") == 45).all()
+
+
+def test_hash_of_a_gradient():
+    """Brightness that only rises to the right has no energy in lower rows, so their bits follow the median alone."""
+    x = np.tile(np.arange(0, 256, 4, dtype=np.uint8), (64, 1))
+    bits = f"{images.hash_bits(np.stack([x] * 3, -1)):064b}"
+    assert bits[0] == "1" and bits[1] == "0"
+    assert images.hash_bits(np.stack([x[:, ::-1]] * 3, -1)) != images.hash_bits(np.stack([x] * 3, -1))
+
+
+def test_image_measures(spark, tmp_path):
+    a = np.zeros((40, 40, 3), np.uint8)
+    for name, p in {"a": a, "b": a + 45, "c": a + 105, "wide": np.zeros((40, 60, 3), np.uint8)}.items():
+        (tmp_path / f"{name}.png").write_bytes(sinks.png(p))
+    m = images.image_measures(spark, str(tmp_path))
+    pairs = spark.createDataFrame([("a.png", x) for x in ("a.png", "b.png", "c.png", "wide.png", "none.png")], "a string, b string")
+    got = {r.b[:-4]: (r.similarity, r.aspect_close) for r in images.likeness(pairs, m).collect()}
+    assert got == {"a": ("high", True), "b": ("moderate", True), "c": ("low", True), "wide": ("high", False), "none": (None, None)}
+    h = images.histogram(a + 45)
     assert len(h) == 48 and h[45 // 16] == 1.0 and sum(h) == pytest.approx(3)
-    mask = np.zeros((4, 4), bool)
-    mask[0, :2] = True
-    assert images.covered_share(mask) == 2 / 16 and images.covered_share(mask, np.eye(4, dtype=bool)) == 2 / 5
-    assert images.covered_share(np.zeros((0, 0), bool)) is None
+    scene, mask = np.full((4, 4, 3), 200, np.uint8), np.zeros((4, 4, 3), np.uint8)
+    scene[0], mask[0, :2], mask[1, 0] = 20, 255, 255
+    assert images.covered_share(scene, mask) == 3 / 5
+    assert images.covered_share(np.zeros((0, 0, 3), np.uint8), np.zeros((0, 0, 3), np.uint8)) is None
+
+
+def test_shapes_of_all_formats(spark):
+    pixels = png(6, 4)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x04\x00\x06\x03\x01\x02\x03\xff\xda\x00\x02" + b"x" * 9 + b"\xff\xd9"
+    lossless = b"RIFF" + (22).to_bytes(4, "little") + b"WEBPVP8L" + (10).to_bytes(4, "little") + b"\x2f" + (5 | 3 << 14 | 1 << 28).to_bytes(4, "little") + b"\0" * 5
+    entry = lambda tag, kind, n, v: struct.pack("<HHII", tag, kind, n, v)
+    tags = [entry(256, 3, 1, 6), entry(257, 3, 1, 4), entry(258, 3, 1, 8), entry(262, 3, 1, 2), entry(273, 4, 1, 8), entry(277, 3, 1, 3), entry(279, 4, 1, 72)]
+    tiff = b"II*\0" + struct.pack("<I", 80) + b"\0" * 72 + struct.pack("<H", len(tags)) + b"".join(tags) + b"\0" * 4
+    bmp = b"BM" + struct.pack("<IHHI", 54 + 80, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 6, 4, 1, 24, 0, 80, 0, 0, 0, 0) + b"\0" * 80
+    gif = b"GIF89a" + struct.pack("<HH", 6, 4) + b"\0" * 9 + b";"
+    whole = {"png": (pixels, "RGB"), "jpeg": (jpeg, "RGB"), "webp": (lossless, "RGBA"), "tiff": (tiff, "RGB"), "bmp": (bmp, "RGB"), "gif": (gif, "P")}
+    broken = {"png cut": pixels[:-20], "png bit": pixels[:45] + b"?" + pixels[46:], "jpeg cut": jpeg[:-2], "webp cut": lossless[:-3], "tiff cut": tiff[:70], "bmp cut": bmp[:-9], "gif cut": gif[:-1], "text": b"hello", "none": None, "empty": b""}
+    rows = spark.createDataFrame([*((n, bytearray(b)) for n, (b, _) in whole.items()), *((n, None if b is None else bytearray(b)) for n, b in broken.items())], "name string, content binary")
+    got = {r.name: tuple(r.s) for r in rows.select("name", scans.image_shape("content").alias("s")).collect()}
+    assert got == {n: (6, 4, mode, False) for n, (_, mode) in whole.items()} | {n: (None, None, None, True) for n in broken}
+
+
+def test_index_with_holes_is_not_persisted(spark, tmp_path):
+    holes = lambda: spark.createDataFrame([("a", "1"), ("b", None)], "relpath string, phash string")
+    with pytest.raises(ValueError):
+        scans.load_or_build(spark, str(tmp_path / "index"), holes, F.col("phash").isNotNull())
+    assert not (tmp_path / "index").exists()
+
+
+def test_locks_that_do_not_hold(spark):
+    facts = {"t": spark.sql("select 3 as n, 'x' as name")}
+    lock = locks.build_lock(facts, spark.createDataFrame([("in", "d1")], "name string, sha256 string"))
+    assert locks.lock_problems(lock, locks.build_lock(facts, spark.createDataFrame([("in", "d1")], "name string, sha256 string"))) == []
+    assert locks.lock_problems(lock | {"facts": {}}, lock) == ["lock_digest", "facts.t"]
+    assert locks.lock_problems(lock, locks.build_lock(facts)) == ["inputs.in"]
+    with pytest.raises(ValueError):
+        locks.require_lock(lock, lock, ["u"])
+    with pytest.raises(ValueError):
+        locks.build_lock({"t": spark.range(2)})
+    with pytest.raises(PermissionError):
+        locks.guarded(spark.sql("select 'pass' as status").limit(0), lambda: None)
