@@ -56,10 +56,23 @@ def instant(text: Column, need_offset: bool = True) -> Column:
     return F.when(text.rlike(INSTANT) & (zone != ""), iso.try_cast("timestamp"))
 
 
+#: Exponent notations that 38 digits with 18 after the point hold exactly, and decimal notations of any length.
+EXPONENT = r"^[+-]?\d{1,9}(?:\.\d{0,9})?[eE](?:-\d|\+?(?:\d|10))$"
+DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
+
+
 def number_form(text: Column) -> Column:
-    """One spelling for all notations of a number ('1024', ' 1024.0', '1.024e3'); other texts stay, null is empty."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s _]", "")
-    return F.coalesce(bare.try_cast("decimal(38,6)").cast("string"), bare)
+    """One spelling for all notations of a number ('1024', ' 1024.0', '1.024e3'); other texts stay, null is empty.
+
+    Nothing is rounded: numbers of any length that differ anywhere have different forms. An exponent is resolved from
+    -9 to 10, with up to nine digits on either side of the point; with others the text stays.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s _]", "")
+    form = F.when(bare.rlike(EXPONENT), bare.try_cast("decimal(38,18)").cast("string")).when(bare.rlike(DECIMAL), bare)
+    for pattern, by in ((r"^\+", ""), (r"^(-?)\.", "$10."), (r"^(-?)0+(?=\d)", "$1"), (r"(\.\d*?)0+$", "$1"), (r"\.$", ""), ("^-0$", "0")):
+        form = F.regexp_replace(form, pattern, by)
+    # Most numbers are in the form already.
+    return F.when(bare.rlike(r"^[1-9]\d*$"), bare).otherwise(F.coalesce(form, bare))
 
 
 def boolean_form(text: Column) -> Column:

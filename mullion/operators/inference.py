@@ -18,18 +18,29 @@ from pyspark.sql import types as T
 from mullion.scale import Scratch, running_sums
 
 
+def _beta_tail(a: float, b: float) -> float:
+    """The regularised incomplete beta at 1/2 for a >= b - 1, by its continued fraction."""
+    tiny, x = 1e-300, 0.5
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 1_000_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 + step * d, 1.0 + step / c
+            d, c = 1.0 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h * math.exp(math.lgamma(a + b) - math.lgamma(a + 1) - math.lgamma(b) - (a + b) * math.log(2))
+
+
 @F.pandas_udf(T.DoubleType())
 def exact_p(b: pd.Series, c: pd.Series) -> pd.Series:
-    """Two-sided exact binomial p of discordant counts; 1 if there are none."""
+    """Two-sided exact binomial p of discordant counts; 1 if there are none. Time and memory don't grow with the counts
+    but for the fraction's terms, some root of them."""
 
     def one(x: int, y: int) -> float:
-        n, m = x + y, min(x, y)
-        if n == 0:
-            return 1.0
-        k = np.arange(m + 1)
-        ln = np.concatenate(([0.0], np.cumsum(np.log(n - k[:-1]) - np.log(k[1:])))) - n * math.log(2)
-        top = ln.max()
-        return min(1.0, 2.0 * math.exp(top) * float(np.exp(ln - top).sum()))
+        return 1.0 if x == y else min(1.0, 2 * _beta_tail(max(x, y), min(x, y) + 1))
 
     return pd.Series([one(int(x), int(y)) for x, y in zip(b, c)])
 
@@ -37,24 +48,23 @@ def exact_p(b: pd.Series, c: pd.Series) -> pd.Series:
 def discordant(pred: DataFrame, run: str = "run", item: str = "item_id", correct: str = "correct") -> DataFrame:
     """(run_a, run_b, n, b, c) for every two runs a < b over their common items: b counts items that only a has right.
 
-    Each item's runs are put in one row first; runs are few, items are not, so nothing is joined.
+    Each item's runs are one sorted pattern (an item has a row per run, few of them; repeats count once); patterns are
+    counted before they are taken apart into pairs, so that items are shuffled once and nothing is joined.
     """
-    runs = [r[0] for r in pred.select(run).distinct().orderBy(run).collect()]
-    wide = pred.groupBy(item).agg(*[F.max(F.when(F.col(run) == r, F.col(correct).cast("int"))).alias(f"_r{i}") for i, r in enumerate(runs)])
-    pairs = [(i, j) for i in range(len(runs)) for j in range(i + 1, len(runs))]
-    aggs = []
-    for i, j in pairs:
-        x, y = F.col(f"_r{i}"), F.col(f"_r{j}")
-        aggs.append(F.struct(F.lit(runs[i]).alias("run_a"), F.lit(runs[j]).alias("run_b"), F.count_if(x.isNotNull() & y.isNotNull()).alias("n"), F.count_if((x == 1) & (y == 0)).alias("b"), F.count_if((x == 0) & (y == 1)).alias("c")).alias(f"_p{i}_{j}"))
-    return wide.agg(*aggs).select(F.explode(F.array(*[f"_p{i}_{j}" for i, j in pairs])).alias("p")).select("p.*")
-
-
-def holm(tests: DataFrame, p: str, order: Sequence[str], name: str = "p_holm") -> DataFrame:
-    """Adds Holm's step-down p over the whole table; ties keep the given order."""
-    w = Window.partitionBy(F.lit(1)).orderBy(p, *order)
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    stepped = tests.withColumn("_s", F.least(F.lit(1.0), (m - F.row_number().over(w) + 1) * F.col(p)))
-    return stepped.withColumn(name, F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    once = pred.where(F.col(correct).isNotNull()).groupBy(item, run).agg(F.max(F.col(correct).cast("int")).alias("_c"))
+    patterns = once.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), F.col("_c").alias("c")))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    pairs = patterns.select("n", "p", F.posexplode("p").alias("i", "x")).select("n", "x", F.explode(F.expr("slice(p, i + 2, size(p))")).alias("y"))
+    only = lambda x, y: F.coalesce(F.sum(F.when((F.col(x) == 1) & (F.col(y) == 0), F.col("n"))), F.lit(0))
+    return pairs.groupBy(F.col("x.r").alias("run_a"), F.col("y.r").alias("run_b")).agg(F.sum("n").alias("n"), only("x.c", "y.c").alias("b"), only("y.c", "x.c").alias("c"))
+
+
+def holm(tests: DataFrame, p: str, order: Sequence[str], scratch: Scratch, name: str = "p_holm") -> DataFrame:
+    """Adds Holm's step-down p over the whole table; ties keep the given order. Ranks and the running maximum are taken
+    by ranges, so that any number of tests does."""
+    held, m = scratch.keep_counted(tests, "tests")[:2]
+    ranked = running_sums(held, [F.col(p), *[F.col(c) for c in order]], {"_rank": F.lit(1).cast("long")}, scratch)
+    stepped = ranked.withColumn("_s", F.least(F.lit(1.0), (F.lit(m) - F.col("_rank") + 1) * F.col(p)))
+    return running_sums(stepped, [F.col("_rank")], {name: F.col("_s")}, scratch, fold=F.max).drop("_s", "_rank")
 
 
 def paired_change(runs: DataFrame, keys: Sequence[str], setting: str, base: str, other: str, value: str) -> DataFrame:

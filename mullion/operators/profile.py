@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mullion.scale import Scratch, running_sums
+
 
 def split_summary(manifest: DataFrame) -> DataFrame:
     """Per split: records, classes, the first and last class by name, corrupt records."""
@@ -28,9 +30,20 @@ def class_list(manifest: DataFrame) -> DataFrame:
     return manifest.select("split", "class_label").distinct().groupBy("split").agg(F.array_join(F.array_sort(F.collect_list("class_label")), "|").alias("classes"))
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row of exact medians of columns cast to numbers; what can't be cast is left out."""
-    return df.agg(*[F.percentile(F.col(c).cast("string").try_cast("double"), 0.5).alias(f"median_{c}") for c in columns])
+def exact_medians(df: DataFrame, columns: Sequence[str], scratch: Scratch) -> DataFrame:
+    """One row of exact medians of columns cast to numbers; what can't be cast is left out.
+
+    Values are counted first and summed up over ranges in order; the middle is the least value that enough rows reach,
+    so that no task holds all values of a column.
+    """
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").try_cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")
+    by = df.select(one).select("x.c", "x.v").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    run = running_sums(by, [F.col("c"), F.col("v")], {"upto": F.col("n")}, scratch)
+    ends = run.groupBy(F.col("c").alias("e")).agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.max("upto").alias("stop"))
+    placed = run.join(F.broadcast(ends), F.col("c") == F.col("e")).select("c", "v", (F.col("upto") - F.col("start")).alias("at"), (F.col("stop") - F.col("start")).alias("all"))
+    lower, upper = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    middle = lambda i: (F.min(F.when((F.col("c") == i) & (F.col("at") >= lower), F.col("v"))) + F.min(F.when((F.col("c") == i) & (F.col("at") >= upper), F.col("v")))) / 2
+    return placed.agg(*[middle(i).alias(f"median_{c}") for i, c in enumerate(columns)])
 
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:

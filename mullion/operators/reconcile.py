@@ -54,6 +54,15 @@ def compare_copies(
     return rows.select(key_name, *carry, "_d.outcome", "_d.field_name")
 
 
+def conflicting_rows(df: DataFrame, key: Column, fields: dict[str, Column], key_name: str = "key") -> DataFrame:
+    """(key, n_forms): keys that have several different rows, of which compare_copies takes the smallest.
+
+    Fields are compared as there; repeats are combined before the shuffle, and forms are counted, never collected.
+    """
+    forms = df.select(key.alias(key_name), *[F.coalesce(c.cast("string"), F.lit("")).alias(f"_f{i}") for i, c in enumerate(fields.values())]).where(F.col(key_name).isNotNull()).distinct()
+    return forms.groupBy(key_name).agg(F.count(F.lit(1)).alias("n_forms")).where("n_forms > 1")
+
+
 def reconcile_sets(fresh: DataFrame, persisted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Identity sets compared both ways, as (keys, n_fresh, n_persisted, outcome); equal rows are left out.
 

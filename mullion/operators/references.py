@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The filter has at most so many words of 64 bits, whatever the number of parents: 32 MB when broadcast.
+from mullion.scale import Scratch
+
+#: The filter is broadcast up to so many words of 64 bits, 32 MB; a larger one is joined by shuffle, chunk by chunk.
 MOST_WORDS = 1 << 22
 #: Words in one row of the broadcast table; a row's array is far smaller than as many rows.
 ROW_WORDS = 256
@@ -14,8 +16,8 @@ PROBES, KEYS_PER_WORD = 4, 5
 
 
 def filter_words(n_keys: int) -> int:
-    """Words for so many keys: a power of two, up to the bound."""
-    return min(MOST_WORDS, max(ROW_WORDS, 1 << (max(1, n_keys) // KEYS_PER_WORD).bit_length()))
+    """Words for so many keys: a power of two, so that as few keys pass by chance at every size."""
+    return max(ROW_WORDS, 1 << (max(1, n_keys) // KEYS_PER_WORD).bit_length())
 
 
 def _word(key: Column, words: int) -> Column:
@@ -36,8 +38,7 @@ def bloom_filter(parents: DataFrame, key: str, words: int) -> DataFrame:
     """A blocked Bloom filter of the keys as (chunk, bits array<long>) of at most words / ROW_WORDS rows.
 
     Each key sets PROBES bits in one 64-bit word; words are an aggregate of bit_or, combined before the shuffle, then
-    laid side by side by chunk. With more keys than the filter has room for, more references pass on to the exact join;
-    none is ever lost.
+    laid side by side by chunk.
     """
     w = parents.select(_word(F.col(key), words).alias("word"), _mask(F.col(key)).alias("m")).groupBy("word").agg(F.bit_or("m").alias("bits"))
     entry = F.struct((F.col("word") % ROW_WORDS).cast("int").alias("at"), "bits")
@@ -59,19 +60,25 @@ def orphans(
     null since is taken as always. References of unknown time (null `at`) are orphans only if no parent row ever had
     the key. References with a null key refer to nothing and are left out. Repeats on either side change nothing.
 
-    A broadcast Bloom filter of the parent keys, of bounded size, proves most orphans; only the references that pass it
-    are joined exactly. The exact part is an anti-join, whose hot keys adaptive execution can split on the left side;
-    repeated parent rows are combined before.
+    Both sides' keys are compared as they are; bring them to one form before.
+
+    A Bloom filter of the parent keys proves most orphans; only the references that pass it are joined exactly. It is
+    broadcast up to a bound of its size; beyond, its chunks and the references meet by a shuffle on the chunk. References
+    are read and tested once and kept. The exact part is an anti-join, whose hot keys adaptive execution can split on the
+    left side; repeated parent rows are combined before.
     """
+    scratch = Scratch(references.sparkSession)
     refs = references.where(F.col(key).isNotNull())
     held = parents.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(since).alias("_since"), F.col(until).alias("_until"))
     words = filter_words(held.agg(F.approx_count_distinct("_key")).head()[0])
     held = held.distinct()
     rows = bloom_filter(held, "_key", words).withColumnsRenamed({"chunk": "_chunk", "bits": "_held_bits"})
     tested = refs.withColumn("_word", _word(F.col(key), words))
-    tested = tested.join(F.broadcast(rows), F.shiftright("_word", ROW_WORDS.bit_length() - 1) == F.col("_chunk"), "left")
+    rows = F.broadcast(rows) if words <= MOST_WORDS else rows
+    tested = tested.join(rows, F.shiftright("_word", ROW_WORDS.bit_length() - 1) == F.col("_chunk"), "left")
     own = F.try_element_at("_held_bits", (F.col("_word") % ROW_WORDS).cast("int") + 1)
     tested = tested.withColumn("_maybe", F.coalesce(own.bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.lit(False))).drop("_word", "_chunk", "_held_bits")
+    tested = scratch.keep(tested, "tested")
     proven = tested.where(~F.col("_maybe")).drop("_maybe")
     live = F.col(at).isNull() | ((F.col("_since").isNull() | (F.col("_since") <= F.col(at))) & (F.col("_until").isNull() | (F.col(at) < F.col("_until"))))
     verified = tested.where("_maybe").drop("_maybe").join(held, (F.col(key) == F.col("_key")) & live, "left_anti")

@@ -254,10 +254,12 @@ def _(spark, sf):
     return rounded(calibration.area_under(calibration.abstention_curve(predictions(spark, sf), Scratch(spark))))
 
 
-def runs_of(spark, sf):
+def runs_of(spark, sf, distinct: bool = True):
+    """The predictions of three runs; operators that combine repeats themselves spare the pass that removes them."""
     out = None
     for r in range(3):
-        p = predictions(spark, sf, r).select(F.lit(f"m{r}").alias("run"), "item_id", "y_true", "y_pred", "correct").distinct()
+        p = predictions(spark, sf, r).select(F.lit(f"m{r}").alias("run"), "item_id", "y_true", "y_pred", "correct")
+        p = p.distinct() if distinct else p
         out = p if out is None else out.unionAll(p)
     return out
 
@@ -269,12 +271,12 @@ PV = "case when b + c = 0 then 1.0 else least(1.0, 2 * list_sum([exp(lgamma(b +
 
 @query("discordant_counts", f"select * from {DIS}")
 def _(spark, sf):
-    return inference.discordant(runs_of(spark, sf))
+    return inference.discordant(runs_of(spark, sf, distinct=False))
 
 
 @query("mcnemar_exact", f"select run_a, run_b, b, c, round({PV}, 6) as p from {DIS}")
 def _(spark, sf):
-    d = inference.discordant(runs_of(spark, sf))
+    d = inference.discordant(runs_of(spark, sf, distinct=False))
     return rounded(d.select("run_a", "run_b", "b", "c", inference.exact_p("b", "c").alias("p")))
 
 
@@ -284,7 +286,7 @@ DAILY = "(select source, lang, count(*) filter (where doc_id % 3 = 0) as b, coun
 @query("mcnemar_holm", f"select source, lang, b, c, round(p, 6) as p, round(max(s) over (order by p, source, lang rows unbounded preceding), 6) as p_holm from (select *, least(1.0, (count(*) over () - row_number() over (order by p, source, lang) + 1) * p) as s from (select *, round({PV}, 9) as p from {DAILY}))")
 def _(spark, sf):
     d = table(spark, sf, "documents").where("source is not null and lang is not null").groupBy("source", "lang").agg(F.count_if(F.col("doc_id") % 3 == 0).alias("b"), F.count_if(F.col("doc_id") % 3 == 1).alias("c"))
-    return rounded(inference.holm(d.withColumn("p", F.round(inference.exact_p("b", "c"), 9)), "p", ["source", "lang"]))
+    return rounded(inference.holm(d.withColumn("p", F.round(inference.exact_p("b", "c"), 9)), "p", ["source", "lang"], Scratch(spark)))
 
 
 @query("bca_intervals")

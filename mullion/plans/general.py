@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mullion.functions.paths import normal_path
 from mullion.functions.records import boolean_form, digest, instant, instant_form, number_form
-from mullion.operators.reconcile import compare_copies
+from mullion.operators.reconcile import compare_copies, conflicting_rows
 from mullion.operators.references import orphans
 
 NUMBERS = ("width", "height", "n_bytes")
@@ -19,26 +19,28 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _differences(spark: SparkSession, sf: str, carry: bool = False) -> DataFrame:
-    held, rebuilt = _table(spark, sf, "plantvillage"), _table(spark, sf, "plantvillage_rebuilt")
+def _fields(acquired: Column) -> dict[str, Column]:
+    """The compared fields in one notation."""
     c = F.col
+    return (
+        {n: c(n) for n in TEXTS}
+        | {"sha256": digest(c("sha256"))}
+        | {n: number_form(c(n).cast("string")) for n in NUMBERS}
+        | {n: boolean_form(c(n).cast("string")) for n in BOOLEANS}
+        | {"acquired_at_utc": acquired}
+    )
 
-    def fields(acquired) -> dict:
-        return (
-            {n: c(n) for n in TEXTS}
-            | {"sha256": digest(c("sha256"))}
-            | {n: number_form(c(n).cast("string")) for n in NUMBERS}
-            | {n: boolean_form(c(n).cast("string")) for n in BOOLEANS}
-            | {"acquired_at_utc": acquired}
-        )
 
+def _differences(spark: SparkSession, sf: str, carry: bool = False) -> DataFrame:
+    held, rebuilt = _table(spark, sf, "plantvillage"), _table(spark, sf, "plantvillage_rebuilt")
+    c = F.col
     return compare_copies(
         held,
         rebuilt,
         F.nullif(c("relpath"), F.lit("")),
         normal_path(c("relpath")),
-        fields(F.unix_micros("acquired_at_utc").cast("string")),
-        fields(instant_form(c("acquired_at_utc"))),
+        _fields(F.unix_micros("acquired_at_utc").cast("string")),
+        _fields(instant_form(c("acquired_at_utc"))),
         key_name="relpath",
         carry={"shard_id": c("shard_id")} if carry else None,
     )
@@ -48,6 +50,15 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return _differences(spark, sf)
 
 
+def p3_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths that have several different rows on a side, whose smallest p3_found compares: (relpath, side, n_forms)."""
+    held, rebuilt = _table(spark, sf, "plantvillage"), _table(spark, sf, "plantvillage_rebuilt")
+    c = F.col
+    a = conflicting_rows(held, F.nullif(c("relpath"), F.lit("")), _fields(F.unix_micros("acquired_at_utc").cast("string")), "relpath")
+    b = conflicting_rows(rebuilt, normal_path(c("relpath")), _fields(instant_form(c("acquired_at_utc"))), "relpath")
+    return a.select("relpath", F.lit("expected").alias("side"), "n_forms").unionAll(b.select("relpath", F.lit("actual").alias("side"), "n_forms"))
+
+
 def p3_claims(spark: SparkSession, sf: str) -> DataFrame:
     """Missing and differing records per shard beside the latest earlier report's claims; extras are in p3_extra_claims."""
     found = _differences(spark, sf, carry=True).where("outcome <> 'extra_records'")
@@ -119,10 +130,17 @@ def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("table_name", "field_name", "month").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_claims": p3_claims, "p3_extra_claims": p3_extra_claims, "p4_found": p4_found, "p4_counts": p4_counts}
+def p4_parent_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifest paths by whether they are in normal form, which the orphan search takes for granted."""
+    rows = _table(spark, sf, "plantvillage").select(F.lit("plantvillage").alias("table_name"), "relpath").unionAll(_table(spark, sf, "plantdoc").select(F.lit("plantdoc").alias("table_name"), "relpath"))
+    normal = normal_path(F.col("relpath"))
+    return rows.groupBy("table_name").agg(F.count("relpath").alias("n"), F.count_if(F.col("relpath").isNotNull() & ~normal.eqNullSafe(F.col("relpath"))).alias("n_other"))
+
+
+QUERIES = {"p3_conflicts": p3_conflicts, "p4_parent_forms": p4_parent_forms, "p3_found": p3_found, "p3_claims": p3_claims, "p3_extra_claims": p3_extra_claims, "p4_found": p4_found, "p4_counts": p4_counts}
 
 _PATH = r"nullif(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '^[\s\x{{00A0}}\x{{3000}}]+|[\s\x{{00A0}}\x{{3000}}]+$', '', 'g'), '[/\\]+', '/', 'g'), '^(\./)+', ''), '')"
-_NUM = "coalesce(cast(try_cast(regexp_replace(coalesce(cast({0} as varchar), ''), '[\\s_]', '', 'g') as decimal(38,6)) as varchar), coalesce(cast({0} as varchar), ''))"
+_NUM = "coalesce(cast(try_cast(regexp_replace(coalesce(cast({0} as varchar), ''), '[\\s_]', '', 'g') as decimal(38,18)) as varchar), coalesce(cast({0} as varchar), ''))"
 _P4_CASES = f"""
 refs as (
   select 'leakage_plantvillage_vs_plantdoc_pairs' as table_name, pair_row_id as row_id, 'training_relpath' as field_name, {_PATH.format('training_relpath')} as k, detected_at_utc as t from leakage_plantvillage_vs_plantdoc_pairs
@@ -166,3 +184,8 @@ with d as (select count(*) as n from ({SQL["p3_found"]}) where outcome = 'extra_
 c as (select shard_id, arg_max(row(extra_records), (run_at_utc, run_id)) as c from plantvillage_manifest_reconstruction group by 1),
 r as (select shard_id, null::bigint as extra_records, c[1] as claimed_extra from c union all select null, n, null from d)
 select shard_id, max(extra_records) as extra_records, max(claimed_extra) as claimed_extra from r group by 1"""
+
+SQL["p3_conflicts"] = SQL["p3_found"].partition("j as (select a.k")[0].rstrip().rstrip(",") + """
+select k as relpath, 'expected' as side, count(*) as n_forms from a group by 1 having count(*) > 1 union all select k, 'actual', count(*) from b where k is not null group by 1 having count(*) > 1"""
+SQL["p4_parent_forms"] = f"""select t as table_name, count(relpath) as n, count(*) filter (where relpath is not null and relpath is distinct from {_PATH.format('relpath')}) as n_other
+from (select 'plantvillage' as t, relpath from plantvillage union all select 'plantdoc', relpath from plantdoc) group by 1"""

@@ -325,7 +325,7 @@ def _(spark, sf):
     return crosswalk.insert_missing(known.select("id", "d"), claims.select("id", "d").distinct(), ["id"])
 
 
-@query("merged_decisions", """with f as (select distinct canonical_pair_id as id from leakage_plantvillage_vs_plantdoc_pairs where canonical_pair_id is not null and pair_row_id % 2 = 0), h as (select canonical_pair_id as id, max(human_decision) as human_decision from cross_dataset_near_duplicate_review where canonical_pair_id is not null group by 1)
+@query("merged_decisions", """with f as (select distinct canonical_pair_id as id from leakage_plantvillage_vs_plantdoc_pairs where canonical_pair_id is not null), h as (select canonical_pair_id as id, max(human_decision) as human_decision from cross_dataset_near_duplicate_review where canonical_pair_id is not null group by 1)
 select coalesce(f.id, h.id) as id, human_decision, case when f.id is null then 'lost' when h.id is null then 'new' else 'kept' end as outcome from f full join h on f.id = h.id where f.id is not null or coalesce(human_decision, '') <> ''""")
 def _(spark, sf):
     f = table(spark, sf, "leakage_plantvillage_vs_plantdoc_pairs").where("canonical_pair_id is not null").select(F.col("canonical_pair_id").alias("id")).distinct()

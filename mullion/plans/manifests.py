@@ -65,7 +65,7 @@ def _(spark, sf):
 
 @query("manifest_medians", f"select quantile_cont(cast(width as double), 0.5) as median_width, quantile_cont(cast(height as double), 0.5) as median_height, quantile_cont(cast(n_bytes as double), 0.5) as median_n_bytes from {M}")
 def _(spark, sf):
-    return profile.exact_medians(manifest(spark, sf), ["width", "height", "n_bytes"])
+    return profile.exact_medians(manifest(spark, sf), ["width", "height", "n_bytes"], Scratch(spark))
 
 
 @query("manifest_mode_histogram", f"select mode, count(*) as n from {M} group by mode")
@@ -268,10 +268,11 @@ def _(spark, sf):
     return sound.select("pair_row_id", F.col("hamming_distance").alias("stated"), hamming_hex(t, e).alias("computed"))
 
 
-CANON = """'near-' || substr(sha256('{"evaluation_relpath":"' || coalesce(evaluation_relpath, '') || '","hash_bits":64,"pair_type":"near","training_relpath":"' || coalesce(training_relpath, '') || '"}'), 1, 16)"""
+_JSON = r"""replace(replace(coalesce({0}, ''), '\', '\\'), '"', '\"')"""
+CANON = f"""'near-' || substr(sha256('{{"evaluation_relpath":"' || {_JSON.format('evaluation_relpath')} || '","hash_bits":64,"pair_type":"near","training_relpath":"' || {_JSON.format('training_relpath')} || '"}}'), 1, 16)"""
 
 
-@query("canonical_pair_ids", f"select pair_row_id, {CANON} as pair_id from (select distinct pair_row_id, training_relpath, evaluation_relpath from leakage_plantvillage_vs_plantdoc_pairs where coalesce(training_relpath, '') || coalesce(evaluation_relpath, '') not like '%\\%')")
+@query("canonical_pair_ids", f"select pair_row_id, {CANON} as pair_id from (select distinct pair_row_id, training_relpath, evaluation_relpath from leakage_plantvillage_vs_plantdoc_pairs)")
 def _(spark, sf):
     p = table(spark, sf, "leakage_plantvillage_vs_plantdoc_pairs").select("pair_row_id", "training_relpath", "evaluation_relpath").distinct()
     made = canonical_id("near", {"training_relpath": F.col("training_relpath"), "evaluation_relpath": F.col("evaluation_relpath"), "pair_type": F.lit("near")}, {"hash_bits": F.lit(64)})
@@ -288,7 +289,7 @@ def _(spark, sf):
 
 @query("manifest_set_digest", f"""select cast(sum(n) as bigint) as n, sha256(string_agg(d, chr(10) order by b)) as digest from (
 select substr(c, 1, 2) as b, sum(n) as n, sha256(string_agg(d, chr(10) order by c)) as d from (
-select substr(h, 1, 4) as c, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as d from (select sha256(concat_ws(chr(9), coalesce(relpath, ''), coalesce(split, ''), coalesce(class_label, ''), coalesce(sha256, ''))) as h from {M}) group by 1) group by 1)""")
+select substr(h, 1, 4) as c, sum(k) as n, sha256(string_agg(h, chr(10) order by h)) as d from (select sha256(i || ':' || count(*)) as h, count(*) as k from (select sha256(concat_ws(chr(9), coalesce(relpath, ''), coalesce(split, ''), coalesce(class_label, ''), coalesce(sha256, ''))) as i from {M}) group by i) group by 1) group by 1)""")
 def _(spark, sf):
     return set_digest(manifest(spark, sf), joined(["relpath", "split", "class_label", "sha256"]))
 
@@ -299,8 +300,9 @@ def _(spark, sf):
     return m.groupBy(F.lower(F.substring(F.lpad(F.hex("h"), 16, "0"), 1, 1)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("composed_paths", "select count(*) as n, count(*) filter (where nfc_normalize(training_relpath) <> training_relpath) as n_decomposed from leakage_plantvillage_vs_plantdoc_pairs")
+@query("composed_paths", "select field, count(*) as n, count(*) filter (where nfc_normalize(p) <> p) as n_decomposed from (select 'training_relpath' as field, training_relpath as p from leakage_plantvillage_vs_plantdoc_pairs union all select 'evaluation_relpath', evaluation_relpath from leakage_plantvillage_vs_plantdoc_pairs) group by 1")
 def _(spark, sf):
     p = table(spark, sf, "leakage_plantvillage_vs_plantdoc_pairs")
-    return p.agg(F.count(F.lit(1)).alias("n"), F.count_if(nfc(F.col("training_relpath")) != F.col("training_relpath")).alias("n_decomposed"))
+    rows = p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("p")) for c in ("training_relpath", "evaluation_relpath")])).alias("r")).select("r.*")
+    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(nfc(F.col("p")) != F.col("p")).alias("n_decomposed"))
 

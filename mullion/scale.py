@@ -8,7 +8,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -141,8 +141,8 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], scratch: Scratch, parts: int | None = None) -> DataFrame:
-    """Adds running sums over one total order, without one task for all rows.
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], scratch: Scratch, parts: int | None = None, fold: Callable[..., Column] = F.sum) -> DataFrame:
+    """Adds running sums over one total order, without one task for all rows; with fold=F.max running maxima.
 
     Rows are kept, which counts them; the number of ranges follows the count unless `parts` is given. They are then
     range-partitioned by the order and kept; each range gets the totals of the ranges before it, and sums within the
@@ -158,11 +158,12 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     kept = scratch.keep(source.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     scratch.drop(source)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = kept.groupBy("_p").agg(*[F.sum(n).alias(n) for n in cols])
-    starts = totals.select(F.col("_p").alias("_q"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}b") for n in cols])
+    totals = kept.groupBy("_p").agg(*[fold(n).alias(n) for n in cols])
+    starts = totals.select(F.col("_p").alias("_q"), *[fold(n).over(before).alias(f"{n}b") for n in cols])
     inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = kept.join(F.broadcast(starts), F.col("_p") == F.col("_q"))
-    return out.select(*df.columns, *[(F.sum(n).over(inside) + F.col(f"{n}b")).alias(name) for n, name in zip(cols, sums)])
+    whole = (lambda own, first: own + F.coalesce(first, F.lit(0))) if fold is F.sum else (lambda own, first: F.greatest(own, first))
+    return out.select(*df.columns, *[whole(fold(n).over(inside), F.col(f"{n}b")).alias(name) for n, name in zip(cols, sums)])
 
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], scratch: Scratch, name: str = "n") -> DataFrame:

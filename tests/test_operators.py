@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mullion.functions import hashes, paths, records, text
 from mullion.operators import calibration, crosswalk, inference, metrics, neardup, profile, reconcile, references, remediation, rules, splits
-from mullion.scale import numbered, ranked, running_sums
+from mullion.scale import Scratch, numbered, ranked, running_sums
 
 
 def rows(df, *order):
@@ -174,7 +174,7 @@ def test_inference_known_answers(spark):
     p = [r[0] for r in df.select(inference.exact_p("b", "c")).collect()]
     assert p[0] == pytest.approx(0.009548, abs=1e-6) and p[1] == pytest.approx(0.742829, abs=1e-6) and p[2] == 1.0
     t = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "k string, p double")
-    assert {r.k: round(r.p_holm, 6) for r in inference.holm(t, "p", ["k"]).collect()} == {"a": 0.03, "b": 0.06, "c": 0.06}
+    assert {r.k: round(r.p_holm, 6) for r in inference.holm(t, "p", ["k"], Scratch(spark)).collect()} == {"a": 0.03, "b": 0.06, "c": 0.06}
 
 
 def test_bca_brackets_the_estimate_and_repeats(spark):
@@ -285,7 +285,7 @@ def test_bloom_filter_loses_no_key(spark):
     probes = spark.range(10000).select("id", F.concat(F.lit("k"), "id").alias("key"))
     out = references.orphans(probes.withColumn("at", F.lit(1)), keys.withColumn("since", F.lit(None).cast("int")).withColumn("until", F.lit(None).cast("int")))
     assert sorted(r.id for r in out.collect()) == list(range(5000, 10000))
-    assert references.filter_words(10**12) == references.MOST_WORDS and references.filter_words(0) == references.ROW_WORDS
+    assert references.filter_words(10**12) > references.MOST_WORDS and references.filter_words(0) == references.ROW_WORDS
 
 
 def test_tiers_and_interpolation(spark):
@@ -330,3 +330,68 @@ def test_metrics_on_empty_tables(spark, scratch):
 def test_bins_are_right_closed(spark):
     df = spark.createDataFrame([(0.0, True), (0.2, True), (0.2000001, False), (1.0, True), (None, True)], "conf double, correct boolean")
     assert [r.n for r in calibration.bins(df, 5).orderBy("bin").collect()] == [2, 1, 0, 0, 1]
+
+
+def test_number_forms_are_exact(spark):
+    same = [["1024", " 1024.0", "1.024e3", "+1024", "01024.00", "1_024", "102400E-2"], ["0", "-0", "0.00", "0e5", ".0"], ["0.000001", "1e-6", "0.1E-5"], ["-2.5", "-25e-1"], ["1e10", "10000000000.0"]]
+    other = ["1.0000001", "1.0000002", "12345678901234567890123456789012345678901234567890.1", "12345678901234567890123456789012345678901234567890.2", "x", "", ".", "-", "1e", "1e9999", "NaN"]
+    texts = [x for group in same for x in group] + other
+    form = {r.t: r.f for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", records.number_form(F.col("t")).alias("f")).collect()}
+    for group in same:
+        assert len({form[x] for x in group}) == 1, group
+    assert len({form[g[0]] for g in same} | {form[x] for x in other}) == len(same) + len(other)
+    assert form["1.024e3"] == "1024" and form["1e-6"] == "0.000001" and form["-25e-1"] == "-2.5"
+
+
+def test_exact_p_of_large_counts(spark):
+    from math import comb
+
+    pairs = [(0, 0), (1, 0), (3, 11), (11, 3), (40, 40), (40, 41), (0, 60), (500, 420)]
+    big = [(10**9, 10**9 + 1000), (10**9, 10**9 + 200_000), (5 * 10**8, 5 * 10**8)]
+    got = [r[0] for r in spark.createDataFrame(pairs + big, "b long, c long").coalesce(1).select(inference.exact_p("b", "c")).collect()]
+    for (b, c), p in zip(pairs, got):
+        n, m = b + c, min(b, c)
+        assert p == pytest.approx(min(1.0, 2 * sum(comb(n, k) for k in range(m + 1)) / 2**n), rel=1e-9)
+    # The normal tail with half a step is close at such counts.
+    from statistics import NormalDist
+
+    assert got[-3] == pytest.approx(2 * NormalDist().cdf(-(1000 - 1) / (2 * 10**9) ** 0.5), rel=1e-3)
+    assert got[-2] == pytest.approx(2 * NormalDist().cdf(-(200_000 - 1) / (2 * 10**9) ** 0.5), rel=1e-2) and got[-1] == 1.0
+
+
+def test_medians_by_ranges(spark, scratch):
+    import statistics
+
+    rows_ = [(i % 7, str(i * i % 31), None if i % 3 else 2) for i in range(40)] + [(3, "x", None)] * 30
+    df = spark.createDataFrame(rows_, "a int, b string, c int")
+    got = profile.exact_medians(df, ["a", "b", "c"], scratch).head()
+    assert got.median_a == statistics.median(a for a, _, _ in rows_)
+    assert got.median_b == statistics.median(float(b) for _, b, _ in rows_ if b != "x") and got.median_c == 2.0
+    assert tuple(profile.exact_medians(df.limit(0), ["a", "b"], scratch).head()) == (None, None)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_running_folds_over_many_ranges(spark, scratch, parts):
+    """A third of the rows share one order value's neighbourhood; sums and maxima go over all ranges."""
+    values = [(i, (i * 37) % 11) for i in range(60)] + [(1000 + i, 1) for i in range(30)]
+    df = spark.createDataFrame(values, "k int, v int").repartition(5)
+    sums = running_sums(df, [F.col("k")], {"s": F.col("v")}, scratch, parts)
+    tops = running_sums(df, [F.col("k")], {"s": F.col("v")}, scratch, parts, F.max)
+    total, most, want, top = 0, -1, {}, {}
+    for k, v in sorted(values):
+        total, most = total + v, max(most, v)
+        want[k], top[k] = total, most
+    assert {r.k: r.s for r in sums.collect()} == want and {r.k: r.s for r in tops.collect()} == top
+
+
+def test_filter_that_is_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(references, "MOST_WORDS", 8)
+    parents = spark.createDataFrame([(f"k{i}", None, None) for i in range(300)], "key string, since timestamp, until timestamp")
+    refs = spark.createDataFrame([(i, f"k{i}") for i in range(0, 600, 3)] + [(9000 + i, "hot") for i in range(100)] + [(1, None)], "n int, key string").withColumn("at", F.lit(None).cast("timestamp"))
+    got = {r.n for r in references.orphans(refs, parents).collect()}
+    assert got == {i for i in range(300, 600, 3)} | set(range(9000, 9100))
+
+
+def test_conflicting_rows(spark):
+    df = spark.createDataFrame([("a", "1", 1), ("a", "1", 2), ("b", "1", 1), ("b", None, 1), ("b", "2", 1), ("c", None, 1), (None, "1", 1), (None, "2", 1)], "key string, f string, extra int")
+    assert [tuple(r) for r in reconcile.conflicting_rows(df, F.col("key"), {"f": F.col("f")}).collect()] == [("b", 3)]
