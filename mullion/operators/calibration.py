@@ -18,7 +18,8 @@ def nll(y: Column, probs: Column, eps: float = 1e-12) -> Column:
 
 def brier(y: Column, probs: Column) -> Column:
     """Sum of squared differences from the true label's unit vector."""
-    return F.aggregate(F.transform(probs, lambda p, i: F.pow(p - F.when(i == y, 1.0).otherwise(0.0), 2)), F.lit(0.0), lambda s, x: s + x)
+    squares = F.aggregate(probs, F.lit(0.0), lambda s, p: s + p * p)
+    return squares - 2 * F.element_at(probs, y + 1) + 1
 
 
 def likelihood(pred: DataFrame) -> DataFrame:

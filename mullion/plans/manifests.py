@@ -205,7 +205,8 @@ def _(spark, sf):
 
 
 def _ids(spark, sf, name):
-    return manifest(spark, sf, name).select(F.col("record_id").alias("id"), "h")
+    """Records and hashes; the search combines repeats itself."""
+    return table(spark, sf, name).select(F.col("record_id").alias("id"), phash_bits(F.col("phash")).alias("h"))
 
 
 @query("exact_hash_links", f"select cast(h as varchar) as hash, n_a, n_b from (select h, count(distinct record_id) as n_a from {M} where h is not null group by 1) join (select h, count(distinct record_id) as n_b from {D} where h is not null group by 1) using (h)")
@@ -234,15 +235,41 @@ def _(spark, sf):
 select (select count(h) from {M}) as records_a, (select count(*) from a) as distinct_a, (select count(h) from {D}) as records_b, (select count(*) from b) as distinct_b,
 (select count(*) from a, b where bit_count(xor(a.h, b.h)) between 1 and 6) as near_values, (select count(*) from a join b using (h)) as exact_values, (select count(*) from a) * (select count(*) from b) as possible""")
 def _(spark, sf):
-    return neardup.telemetry(_ids(spark, sf, "plantvillage"), _ids(spark, sf, "plantdoc"), 6)
+    a, b = (manifest(spark, sf, n).select(F.col("record_id").alias("id"), "h") for n in ("plantvillage", "plantdoc"))
+    return neardup.telemetry(a, b, 6)
 
 
 @query("two_population_difference", f"select a.record_id as id_a, b.record_id as id_b from {M} a, {D} b where bit_count(xor(a.h, b.h)) between 1 and 6 group by 1, 2 except select a.record_id, b.record_id from {M} a, {D} b where b.split = 'train' and bit_count(xor(a.h, b.h)) between 1 and 6")
 def _(spark, sf):
-    a, b = _ids(spark, sf, "plantvillage"), manifest(spark, sf, "plantdoc")
-    whole = neardup.near_pairs(a, b.select(F.col("record_id").alias("id"), "h"), 6)
-    part = neardup.near_pairs(a, b.where("split = 'train'").select(F.col("record_id").alias("id"), "h"), 6)
-    return whole.select("id_a", "id_b").subtract(part.select("id_a", "id_b"))
+    b = table(spark, sf, "plantdoc").select(F.col("record_id").alias("id"), phash_bits(F.col("phash")).alias("h"), (split_name(F.col("split")) == "train").alias("inside"))
+    return neardup.pairs_outside(_ids(spark, sf, "plantvillage"), b, "inside", 6)
+
+
+@query("near_pairs_training", f"select least(a.record_id, b.record_id) as id_a, greatest(a.record_id, b.record_id) as id_b, cast(min(bit_count(xor(a.h, b.h))) as integer) as distance from {M} a, {M} b where a.record_id < b.record_id and bit_count(xor(a.h, b.h)) between 1 and 3 group by 1, 2")
+def _(spark, sf):
+    return neardup.near_pairs(_ids(spark, sf, "plantvillage"), None, 3)
+
+
+@query("near_hash_classes", f"with a as (select h, count(distinct record_id) as n from {M} where h is not null group by 1), b as (select h, count(distinct record_id) as n from {D} where h is not null group by 1) select printf('%016x', a.h) as ha, printf('%016x', b.h) as hb, cast(bit_count(xor(a.h, b.h)) as integer) as distance, a.n as n_a, b.n as n_b from a, b where bit_count(xor(a.h, b.h)) between 1 and 6")
+def _(spark, sf):
+    found = neardup.near_classes(_ids(spark, sf, "plantvillage"), _ids(spark, sf, "plantdoc"), 6)
+    return found.select(*[F.lower(F.lpad(F.hex(c), 16, "0")).alias(c) for c in ("ha", "hb")], "distance", "n_a", "n_b")
+
+
+@query("near_pairs_wide", f"select a.record_id as id_a, b.record_id as id_b, cast(min(2 * bit_count(xor(a.h, b.h))) as integer) as distance from {M} a, {D} b where bit_count(xor(a.h, b.h)) <= 4 group by 1, 2")
+def _(spark, sf):
+    """Hashes of 128 bits, made of a hash and its complement, so that distances are twice as large."""
+    wide = lambda n: _ids(spark, sf, n).select("id", F.when(F.col("h").isNotNull(), F.array("h", F.bitwise_not("h"))).alias("h"))
+    return neardup.near_wide(wide("plantvillage"), wide("plantdoc"), 8, 128)
+
+
+@query("malformed_hashes", "select t as table_name, count(*) as n from (select 'plantvillage' as t, phash from plantvillage union all select 'plantdoc', phash from plantdoc) where phash is not null and not regexp_full_match(regexp_replace(lower(trim(phash)), '^0x', ''), '[0-9a-f]{16}') group by 1")
+def _(spark, sf):
+    out = None
+    for name in ("plantvillage", "plantdoc"):
+        t = neardup.malformed(table(spark, sf, name), "phash").groupBy(F.lit(name).alias("table_name")).agg(F.count(F.lit(1)).alias("n"))
+        out = t if out is None else out.unionAll(t)
+    return out
 
 
 BITS = "(select vec_id, " + " || ".join(f"case when embedding[{i + 1}] > 0 then '1' else '0' end" for i in range(64)) + " as b from embeddings)"

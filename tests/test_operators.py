@@ -395,3 +395,40 @@ def test_filter_that_is_too_large_to_broadcast(spark, monkeypatch):
 def test_conflicting_rows(spark):
     df = spark.createDataFrame([("a", "1", 1), ("a", "1", 2), ("b", "1", 1), ("b", None, 1), ("b", "2", 1), ("c", None, 1), (None, "1", 1), (None, "2", 1)], "key string, f string, extra int")
     assert [tuple(r) for r in reconcile.conflicting_rows(df, F.col("key"), {"f": F.col("f")}).collect()] == [("b", 3)]
+
+
+@pytest.mark.parametrize("bits,threshold", [(64, 3), (128, 6), (256, 9)])
+def test_wide_search_against_all_pairs(spark, bits, threshold):
+    r = random.Random(bits)
+    base = [r.getrandbits(bits) for _ in range(6)]
+
+    def some(n):
+        return [h ^ sum({1 << r.randint(0, bits - 1) for _ in range(r.randint(0, threshold))}) for h in (r.choice(base) for _ in range(n))]
+
+    def words(h):
+        return [(x - (1 << 64) if x >> 63 else x) for x in ((h >> 64 * i) & (1 << 64) - 1 for i in range(bits // 64))]
+
+    a, b = some(40), some(40)
+    frame = lambda x: spark.createDataFrame([*((i, words(h)) for i, h in enumerate(x)), (99, None), (0, words(x[0]))], "id int, h array<long>")
+    got = [tuple(x) for x in neardup.near_wide(frame(a), frame(b), threshold, bits).collect()]
+    want = {(i, j, (x ^ y).bit_count()) for i, x in enumerate(a) for j, y in enumerate(b) if (x ^ y).bit_count() <= threshold}
+    assert len(got) == len(set(got)) and set(got) == want
+    with pytest.raises(Exception, match="another width"):
+        neardup.near_wide(frame(a), spark.createDataFrame([(1, [1] * 5)], "id int, h array<long>"), threshold, bits).collect()
+
+
+def test_hashes_are_refused_or_reported(spark):
+    df = spark.createDataFrame([("0123456789abcdef",), (" 0x0123456789ABCDEF",), (None,)], "p string")
+    assert neardup.require_hashes(df, "p").count() == 3
+    bad = df.union(spark.createDataFrame([("xyz",), ("",), ("0123",)], "p string"))
+    assert neardup.malformed(bad, "p").count() == 3
+    with pytest.raises(ValueError, match="16 hexadecimal digits"):
+        neardup.require_hashes(bad, "p")
+    assert neardup.malformed(spark.createDataFrame([("ab" * 32,)], "p string"), "p", 64).isEmpty()
+
+
+def test_pairs_outside_and_classes(spark):
+    a = spark.createDataFrame([(1, 0), (1, 0), (2, 0)], "id long, h long")
+    b = spark.createDataFrame([(7, 1, True), (7, 3, False), (8, 1, None), (8, 1, False), (9, None, False)], "id long, h long, inside boolean")
+    assert sorted(map(tuple, neardup.pairs_outside(a, b, "inside", 2).collect())) == [(1, 8), (2, 8)]
+    assert sorted(map(tuple, neardup.near_classes(a, b, 2).collect())) == [(0, 1, 1, 2, 2), (0, 3, 2, 2, 1)]
