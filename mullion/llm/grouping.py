@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mullion.scale import Scratch, ranked
+from mullion.scale import Scratch, parts_for, ranked
 
 #: Each level of the merge has so many times fewer partitions than the one below.
 FAN_IN = 8
 #: Links that one task may hold as a forest; above it a level keeps several partitions.
-LINKS_PER_TASK = 500_000
+LINKS_PER_TASK = 100_000
 MAX_LEVELS = 100
 
 
@@ -48,25 +48,25 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def union_find(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for all nodes of the links (a, b); root is one node of the component, the same for all of it.
 
-    Level 0 builds a forest in each partition of the links. A node that stands in several forests links their roots;
-    these links are the next level's input, in FAN_IN times fewer partitions (but never more than LINKS_PER_TASK links
-    per task on average), until no node has two roots. Only roots that meet go up, so a level is far smaller than the
-    one below. A link (a, a) declares a node.
+    Links are counted as they are kept. Level 0 builds a forest in each partition, of LINKS_PER_TASK links on average at
+    most; links are spread by both ends, so that a node with a third of all links is in many forests. A node that stands
+    in several forests links their roots; these links are the next level's input, in FAN_IN times fewer partitions (but
+    never more than LINKS_PER_TASK links per task on average), until no node has two roots. Only roots that meet go up,
+    so a level is far smaller than the one below. A link (a, a) declares a node.
     """
-    level, maps = links.select("a", "b"), []
-    parts = None
-    for depth in range(MAX_LEVELS):
-        if depth:
-            n = level.count()
-            if not n:
-                break
-            parts = max(-(-n // LINKS_PER_TASK), (parts or 64) // FAN_IN, 1)
-            level = level.repartition(parts, "a")
+    level, n = scratch.keep_counted(links.select("a", "b"), "links")[:2]
+    maps, parts = [], 1
+    for _ in range(MAX_LEVELS):
+        if maps and not n:
+            break
+        parts = max(-(-n // LINKS_PER_TASK), parts // FAN_IN, 1)
+        level = level.repartition(parts, "a", "b")
         trees = scratch.keep(level.mapInPandas(_forest, "node string, root string"), "forest")
         lead = trees.groupBy("node").agg(F.min("root").alias("lead"), F.max("root").alias("other"))
         maps.append(lead.select("node", F.col("lead").alias("root")))
         split = lead.where("lead <> other").select("node", "lead")
-        level = scratch.keep(trees.join(split, "node").where("root <> lead").select(F.col("root").alias("a"), F.col("lead").alias("b")).distinct(), "meeting")
+        met = trees.join(split, "node").where("root <> lead").select(F.col("root").alias("a"), F.col("lead").alias("b")).distinct()
+        level, n = scratch.keep_counted(met, "meeting")[:2]
     else:
         raise RuntimeError("the merge of the forests did not end")
     final = maps[-1]
@@ -120,11 +120,12 @@ def greedy_quota(sizes: dict[int, int], shares: dict[str, float]) -> dict[int, l
     return quota
 
 
-def assign_splits(groups: DataFrame, shares: dict[str, float], blocks: int = 64) -> DataFrame:
+def assign_splits(groups: DataFrame, shares: dict[str, float], blocks: int | None = None) -> DataFrame:
     """Adds `assigned` to groups (group_id unique, n rows): a split for every group with the wanted shares of rows.
 
     Only the histogram of group sizes comes to the driver. N rows have at most sqrt(2 N) different group sizes (their
-    sum is at most N), half a million for 10^11 rows. The groups of a size are ranked without one task per size.
+    sum is at most N), half a million for 10^11 rows. The groups of a size are ranked in blocks, whose number follows the
+    counted groups.
     """
     hist = {r.n: r.c for r in groups.groupBy("n").agg(F.count(F.lit(1)).alias("c")).toLocalIterator()}
     names, quota = list(shares), greedy_quota(hist, shares)
@@ -137,7 +138,7 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], blocks: int = 64)
                 at += k
     spark = groups.sparkSession
     ranges = spark.createDataFrame(rows, "_n long, _from long, _to long, assigned string")
-    within = ranked(groups, ["n"], ["group_id"], blocks, "_rank")
+    within = ranked(groups, ["n"], ["group_id"], blocks or max(64, parts_for(sum(hist.values()))), "_rank")
     if len(rows) <= 200_000:
         ranges = F.broadcast(ranges)
     return within.join(ranges, (F.col("n") == F.col("_n")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select(*groups.columns, "assigned")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mullion.scale import Scratch, ranked
+from mullion.scale import Scratch, parts_for, ranked
 
 
 class Plan:
@@ -40,16 +40,14 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int, plan: Plan) -> np.nda
     Each step is taken for as many copies as there are, since using items up never breaks its condition.
     """
     n = counts.copy()
+    up, down = _Alive(n, 1), _Alive(n, -1)
 
     def smallest(k: int, without: int) -> list[int]:
         out: list[int] = []
-        for w in np.flatnonzero(n[:]):
-            if w == 0:
-                continue
-            have = int(n[w]) - (w == without)
-            out += [int(w)] * min(have, k - len(out))
-            if len(out) == k:
-                break
+        w = up.find(1)
+        while w <= capacity and len(out) < k:
+            out += [w] * min(int(n[w]) - (w == without), k - len(out))
+            w = up.find(w + 1)
         return out
 
     for j in range(capacity, 0, -1):
@@ -61,10 +59,9 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int, plan: Plan) -> np.nda
                 plan.add(int(n[j]), {j: 1})
                 n[j] = 0
                 break
-            n[j] -= 1
-            some = np.flatnonzero(n[: room + 1])
-            n[j] += 1
-            i = int(some[-1])
+            i = down.find(room)
+            if i == j and n[j] == 1:
+                i = down.find(j - 1)
             best = None
             if fit == 1 or i == room:
                 best = (i,)
@@ -88,10 +85,33 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int, plan: Plan) -> np.nda
     return n
 
 
+class _Alive:
+    """The next size that still has items, upwards or downwards; sizes only run out, so steps over them are joined."""
+
+    def __init__(self, n: np.ndarray, step: int):
+        self.n, self.step, self.to = n, step, {}
+
+    def find(self, s: int) -> int:
+        """The nearest size from s on that has items; len(n) or more upwards, 0 or less downwards, if there is none."""
+        n, to, path = self.n, self.to, []
+        while 0 < s < len(n) and not n[s]:
+            path.append(s)
+            s = to.get(s, s + self.step)
+        for x in path:
+            to[x] = s
+        return s
+
+
 def _best_two(n: np.ndarray, j: int, room: int) -> tuple[int, int]:
     """The heaviest two items besides one j that fit into the room, the larger first."""
-    n = n.copy()
     n[j] -= 1
+    try:
+        return _heaviest_two(n, room)
+    finally:
+        n[j] += 1
+
+
+def _heaviest_two(n: np.ndarray, room: int) -> tuple[int, int]:
     sizes = np.flatnonzero(n[: room + 1])
     sizes = sizes[sizes > 0]
     best, lo, hi = (0, 0), 0, len(sizes) - 1
@@ -122,20 +142,20 @@ def _two_above(n: np.ndarray, j: int, b: int, room: int) -> bool:
 def best_fit(counts: np.ndarray, capacity: int, plan: Plan) -> None:
     """Best fit, largest first, for whole runs of equal items and equally filled containers at once."""
     open_runs: list[list[tuple[int, tuple]]] = [[] for _ in range(capacity + 1)]
-    there = np.zeros(capacity + 1, dtype=np.int64)
+    there = np.zeros(capacity + 1, dtype=bool)
 
     def put(room: int, times: int, content: tuple) -> None:
         open_runs[room].append((times, content))
-        there[room] += 1
+        there[room] = True
 
     for s in range(capacity, 0, -1):
         n = int(counts[s])
         while n:
-            fits = np.flatnonzero(there[s:])
-            if len(fits):
-                room = s + int(fits[0])
+            # Of truth values argmax is the first true one, and looks no further.
+            room = s + int(there[s:].argmax())
+            if there[room]:
                 times, content = open_runs[room].pop()
-                there[room] -= 1
+                there[room] = bool(open_runs[room])
             else:
                 room, content = capacity, ()
                 times = max(1, n // (capacity // s))
@@ -169,7 +189,15 @@ def make_plan(counts: np.ndarray, capacity: int) -> Plan:
     return plan
 
 
-def _slots(plans: list[Plan], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rank_bits(groups: int, most: int) -> int:
+    """Bits of a key that are left for a rank below `most`, beside the number of one of so many (plan, size) groups."""
+    bits = 63 - groups.bit_length()
+    if most.bit_length() > bits:
+        raise ValueError(f"{most} items of one size are too many for so many specifications of such capacities")
+    return bits
+
+
+def _slots(plans: list[Plan], width: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each run and size, where the ranks of its items begin: (key, first container, items per container)."""
     keys, first, per = [], [], []
     for p, plan in enumerate(plans):
@@ -177,7 +205,7 @@ def _slots(plans: list[Plan], width: int) -> tuple[np.ndarray, np.ndarray, np.nd
         for times, held in plan.runs:
             for s, k in held.items():
                 start = begun.get(s, 0)
-                keys.append(((p * width + s) << 40) | start)
+                keys.append(((p * width + s) << bits) | start)
                 first.append(at)
                 per.append(k)
                 begun[s] = start + times * k
@@ -186,19 +214,21 @@ def _slots(plans: list[Plan], width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.asarray(keys, dtype=np.int64)[order], np.asarray(first, dtype=np.int64)[order], np.asarray(per, dtype=np.int64)[order]
 
 
-def pack(sizes: DataFrame, capacities: dict[int, int], blocks: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, capacities: dict[int, int], blocks: int | None = None) -> DataFrame:
     """(spec_id, container_id, doc_id, part_no, n_tokens): a container for every text under each capacity.
 
     sizes: doc_id (unique), n_tokens >= 0; null counts as 0. capacities: by spec_id, each at least 1. A text over the
     capacity fills containers of its own, and only its last part is packed with others. Texts without tokens need no
     room and are spread over all containers. container_id is unique within a spec. Only the histogram of sizes comes to
-    the driver; the plan sent to the executors is bounded by the capacities alone.
+    the driver; the plan sent to the executors is bounded by the capacities alone. Ranks within a size are taken in
+    `blocks`, whose number follows the counted texts.
     """
     if not capacities or min(capacities.values()) < 1:
         raise ValueError("capacities must be at least 1")
     scratch = Scratch(sizes.sparkSession)
     specs = F.array(*[F.struct(F.lit(k).cast("int").alias("spec_id"), F.lit(v).cast("long").alias("capacity")) for k, v in capacities.items()])
-    base = scratch.keep(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n")), "sizes")
+    base, n_docs = scratch.keep_counted(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n")), "sizes")[:2]
+    blocks = blocks or max(64, parts_for(n_docs))
     each = base.select("doc_id", "n", F.explode(specs).alias("s")).select("s.spec_id", "s.capacity", "doc_id", "n")
     full = F.when(F.col("n") > F.col("capacity"), F.floor(F.col("n") / F.col("capacity"))).otherwise(F.lit(0)).cast("int")
     parts = each.withColumn("full", full).withColumn("size", (F.col("n") - F.col("full") * F.col("capacity")).cast("int"))
@@ -209,7 +239,8 @@ def pack(sizes: DataFrame, capacities: dict[int, int], blocks: int = 64) -> Data
     names = list(capacities)
     width = max(capacities.values()) + 1
     plans = [make_plan(hist[k], capacities[k]) for k in names]
-    keys, first, per = _slots(plans, width)
+    bits = _rank_bits(len(plans) * width, max(int(h.max()) for h in hist.values()))
+    keys, first, per = _slots(plans, width, bits)
     held = np.asarray([max(1, p.containers()) for p in plans], dtype=np.int64)
     index = np.asarray(names)
 
@@ -220,8 +251,8 @@ def pack(sizes: DataFrame, capacities: dict[int, int], blocks: int = 64) -> Data
         s, q = size.to_numpy().astype(np.int64), rank.to_numpy().astype(np.int64)
         out = q % held[p]
         if len(keys):
-            at = np.clip(np.searchsorted(keys, ((p * width + s) << 40) | q, side="right") - 1, 0, None)
-            out = np.where(s > 0, first[at] + (q - (keys[at] & ((1 << 40) - 1))) // per[at], out)
+            at = np.clip(np.searchsorted(keys, ((p * width + s) << bits) | q, side="right") - 1, 0, None)
+            out = np.where(s > 0, first[at] + (q - (keys[at] & ((1 << bits) - 1))) // per[at], out)
         return pd.Series(out)
 
     seated = ranked(items.select("spec_id", "size", "doc_id", "full"), ["spec_id", "size"], ["doc_id"], blocks, "q")

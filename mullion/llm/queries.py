@@ -113,6 +113,28 @@ def p5_assigned(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def p5_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """(table_name, n_rows, n_groups, within) of p5_assigned: whether each split is off its share of rows by no more than
+    the largest group, which whole groups can't better in general."""
+    shares = _table(spark, sf, "split_targets").select("table_name", F.col("split_name").alias("assigned"), "share")
+    held = Scratch(spark).keep(p5_assigned(spark, sf), "assigned")
+    total = held.groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.max("n_rows").alias("largest"))
+    rows = held.groupBy("table_name", "assigned").agg(F.sum("n_rows").alias("n"))
+    off = shares.join(F.broadcast(total), "table_name").join(rows, ["table_name", "assigned"], "left").select("table_name", "n_rows", "n_groups", (F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("n_rows")) <= F.col("largest")).alias("ok"))
+    return off.groupBy("table_name", "n_rows", "n_groups").agg(F.min("ok").alias("within"))
+
+
+def p5_linked_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of images by leaf and by digest together: each digest with its group's number of digests and of leaves."""
+    scratch = Scratch(spark)
+    t = _table(spark, sf, "plantvillage")
+    leaf = _key_form(F.col("leaf_id"))
+    rows = t.select(F.when(leaf != "-1", leaf).alias("leaf"), digest(F.col("sha256")).alias("digest")).where("digest is not null").distinct()
+    grouped = scratch.keep(grouping.related_groups(scratch.keep(rows, "keys"), ["leaf", "digest"], scratch), "grouped")
+    sizes = grouped.groupBy("group").agg(F.count_distinct("digest").alias("n_digests"), F.count_distinct("leaf").alias("n_leaves"))
+    return grouped.select("digest", "group").distinct().join(sizes, "group").select("digest", "n_digests", "n_leaves")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(_table(spark, sf, "documents"), tokens.vocabulary_path())
 
@@ -147,6 +169,18 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * capacity[F.col("spec_id").cast("long")]), 6))
 
 
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per specification: texts placed, texts lost or placed twice, containers over the capacity, and texts split though
+    they fit."""
+    placed = Scratch(spark).keep(_packed(spark, sf), "placed")
+    specs = _table(spark, sf, "container_specs").select("spec_id", "capacity")
+    fill = placed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(specs), "spec_id").groupBy("spec_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_over"))
+    docs = placed.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("n")).join(F.broadcast(specs), "spec_id")
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity")))
+    per = docs.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("parts") != wanted).alias("n_split"))
+    return per.join(fill, "spec_id").select("spec_id", "n_docs", "n_over", "n_split")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(_table(spark, sf, "documents"))
 
@@ -159,10 +193,13 @@ QUERIES = {
     "p2_edit_hashes": p2_edit_hashes,
     "p5_found": p5_found,
     "p5_assigned": p5_assigned,
+    "p5_balance": p5_balance,
+    "p5_linked_groups": p5_linked_groups,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
 }
 
@@ -199,4 +236,18 @@ select split, dataset, count(distinct (id, other)) as n_pairs, count(distinct id
 with k as (select 'plantvillage' as table_name, trim(regexp_replace(lower(leaf_id), '[\\s\\x{{00A0}}\\x{{3000}}]+', ' ', 'g')) as group_key, {_SPLIT} as s from plantvillage
   union all select 'table6_calibration_per_seed', trim(regexp_replace(lower(dataset), '[\\s\\x{{00A0}}\\x{{3000}}]+', ' ', 'g')), {_SPLIT} from table6_calibration_per_seed)
 select table_name, group_key from k where group_key <> '' and not (table_name = 'plantvillage' and group_key = '-1') group by 1, 2 having count(distinct s) > 1""",
+    "p6_round_trip": "select doc_id, true as same from documents",
+    "p7_checks": "select spec_id, (select count(distinct doc_id) from documents) as n_docs, 0 as n_over, 0 as n_split from container_specs",
+    "p5_balance": """
+with k as (select 'plantvillage' as table_name, trim(regexp_replace(lower(leaf_id), '[\\s\\x{00A0}\\x{3000}]+', ' ', 'g')) as k, 'row|' || record_id as own from plantvillage
+  union all select 'table6_calibration_per_seed', trim(regexp_replace(lower(dataset), '[\\s\\x{00A0}\\x{3000}]+', ' ', 'g')), 'row|' || concat_ws('|', model, setting, seed) from table6_calibration_per_seed)
+select table_name, count(*) as n_rows, count(distinct case when k is null or k = '' or (table_name = 'plantvillage' and k = '-1') then own else 'key|' || k end) as n_groups, true as within from k group by 1""",
+    "p5_linked_groups": """
+with recursive p as (select distinct case when l = '' or l = '-1' then null else l end as leaf, d as digest from (select trim(regexp_replace(lower(leaf_id), '[\\s\\x{00A0}\\x{3000}]+', ' ', 'g')) as l, nullif(lower(trim(sha256)), '') as d from plantvillage) where d is not null),
+b as (select distinct a.leaf as x, c.leaf as y from p a join p c on a.digest = c.digest where a.leaf is not null and c.leaf is not null),
+r as (select distinct x, x as y from b union select r.x, b.y from r join b on r.y = b.x),
+g as (select x as leaf, min(y) as g from r group by 1),
+m as (select digest, min(coalesce(g, '=' || digest)) as g from (select p.digest, g.g from p left join g on p.leaf = g.leaf) group by 1),
+s as (select m.g, count(distinct m.digest) as n_digests, count(distinct p.leaf) as n_leaves from m join p on p.digest = m.digest group by 1)
+select digest, n_digests, n_leaves from m join s using (g)""",
 }

@@ -188,6 +188,16 @@ def test_union_find_merges_over_partitions(spark):
     assert sorted(map(sorted, by_group.values())) == sorted(map(sorted, by_want.values()))
 
 
+def test_forests_of_many_tasks_with_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "LINKS_PER_TASK", 20)
+    r = random.Random(4)
+    links = [("hot", f"n{i}") for i in range(100)] + [(f"n{r.randint(0, 300)}", f"n{r.randint(0, 300)}") for _ in range(150)] + [("alone", "alone")]
+    df = spark.createDataFrame(links, "a string, b string")
+    got = {x.node: x.root for x in grouping.union_find(df, Scratch(spark)).collect()}
+    want = brute_groups({x for e in links for x in e}, links)
+    assert len({(got[k], want[k]) for k in want}) == len(set(want.values())) == len(set(got.values())) and set(got) == set(want)
+
+
 def played(sizes, shares):
     total = sum(s * n for s, n in sizes.items())
     deficit = [total * x for x in shares.values()]
@@ -290,6 +300,23 @@ def test_plan_places_every_item_within_capacity():
         assert plan.containers() <= 1.05 * max(least, alone) + 1
 
 
+def test_keys_of_ranks_never_overflow():
+    assert pack._rank_bits(64 * 131_073, 10**9) == 63 - 24
+    with pytest.raises(ValueError):
+        pack._rank_bits(64 * 131_073, 1 << 40)
+
+
+def test_plan_of_a_large_capacity_in_time():
+    import time
+
+    began = time.time()
+    r = np.random.default_rng(5)
+    counts = np.bincount(np.clip(r.lognormal(7, 1.4, 200_000).astype(int), 1, 131_072), minlength=131_073)
+    plan = pack.make_plan(counts, 131_072)
+    assert sum(t * sum(s * k for s, k in held.items()) for t, held in plan.runs) == int((counts * np.arange(131_073)).sum())
+    assert time.time() - began < 60
+
+
 def best_number(items, capacity):
     best = [len(items)]
 
