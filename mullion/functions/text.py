@@ -140,3 +140,23 @@ def grouped_digits(n: Column) -> Column:
 def p_text(p: Column) -> Column:
     """A p value with four digits, or <0.0001."""
     return F.when(p < 1e-4, "<0.0001").otherwise(F.format_string("%.4f", p))
+
+
+#: Characters that typesetting takes for commands, and what stands for them. Fixed values.
+TYPESET = {"\\": "\\textbackslash{}", "&": "\\&", "%": "\\%", "$": "\\$", "#": "\\#", "_": "\\_", "{": "\\{", "}": "\\}", "~": "\\textasciitilde{}", "^": "\\textasciicircum{}"}
+
+
+def typeset(text: Column) -> Column:
+    """A text with every special character replaced once, in one pass; null stays null."""
+    held = F.create_map(*[F.lit(x) for kv in TYPESET.items() for x in kv])
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(held, c), c)), "")
+
+
+def typeset_row(cells: Sequence[Column]) -> Column:
+    """A row of a typeset table: cells as texts, empty for null."""
+    return F.concat(F.array_join(F.array(*[F.coalesce(typeset(c.cast("string")), F.lit("")) for c in cells]), " & "), F.lit(" \\\\"))
+
+
+def utc_now() -> Column:
+    """The present instant as a text in whole seconds; never part of what a digest is over."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

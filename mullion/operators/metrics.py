@@ -191,3 +191,19 @@ def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     shifted = F.transform(F.array(F.array_max(logits)), lambda top: F.transform(logits, lambda x: F.exp((x - top) / t)))[0]
     # The sum is a variable of the finishing step, not an expression that every element would evaluate anew.
     return F.transform(F.array(shifted), lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x, lambda total: F.transform(e, lambda x: x / total)))[0]
+
+
+def linear_logits(features: Column, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
+    """The logits of a linear model per class, of an array of features; null for null features or another length.
+
+    Stored weights are applied in the plan itself, so that scoring needs no Python.
+    """
+    if not weights or len(weights) != len(bias) or len({len(w) for w in weights}) != 1:
+        raise ValueError("one bias and equally many weights per class are needed")
+    score = lambda w, b: F.aggregate(F.zip_with(features, F.array(*[F.lit(float(x)) for x in w]), lambda x, y: x * y), F.lit(float(b)), lambda s, v: s + v)
+    return F.when(F.size(features) == len(weights[0]), F.array(*[score(w, b) for w, b in zip(weights, bias)]))
+
+
+def first_best(scores: Column) -> Column:
+    """The 0-based place of the largest score, the first of equal ones; null for no scores."""
+    return F.nullif(F.array_position(scores, F.array_max(scores)) - 1, F.lit(-1)).cast("int")

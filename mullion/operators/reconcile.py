@@ -87,6 +87,21 @@ def order_breaks(df: DataFrame, ordinal: str, order: Sequence[str], scratch) ->
     return numbered(df.select(*order, ordinal), [], list(order), scratch, "place").where(F.col("place") != F.col(ordinal))
 
 
+def position_differences(expected: DataFrame, actual: DataFrame, group: str, position: str, columns: Sequence[str]) -> DataFrame:
+    """(group, position, outcome, field_name): rows of ordered packets that differ from what is expected at their place.
+
+    Packets are compared place by place, not as sets: two rows exchanged are two differences. outcome is missing, extra,
+    repeated (a place taken twice on a side) or changed, which has a row per field; nulls equal nulls only.
+    """
+    side = lambda t, s: t.groupBy(group, position).agg(F.count(F.lit(1)).alias(f"_n{s}"), *[F.min(F.col(c).cast("string")).alias(f"_{s}{i}") for i, c in enumerate(columns)])
+    a, b = side(expected, "a"), side(actual, "b").withColumnsRenamed({group: "_g", position: "_p"})
+    j = a.join(b, F.col(group).eqNullSafe(F.col("_g")) & F.col(position).eqNullSafe(F.col("_p")), "full")
+    one = lambda o, f=None: F.struct(F.lit(o).alias("outcome"), F.lit(f).cast("string").alias("field_name"))
+    changed = F.array_compact(F.array(*[F.when(~F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}")), one("changed", c)) for i, c in enumerate(columns)]))
+    found = F.when(F.col("_nb").isNull(), F.array(one("missing"))).when(F.col("_na").isNull(), F.array(one("extra"))).when((F.col("_na") > 1) | (F.col("_nb") > 1), F.array(one("repeated"))).otherwise(changed)
+    return j.select(F.coalesce(group, "_g").alias(group), F.coalesce(position, "_p").alias(position), F.explode(found).alias("d")).select(group, position, "d.*")
+
+
 def named_facts(facts: dict[str, DataFrame]) -> DataFrame:
     """(name, value) from one-row tables, a row per column, as fact_column; a name that comes twice raises."""
     names = [f"{k}_{c}" for k, df in facts.items() for c in df.columns]

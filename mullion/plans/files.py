@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mullion.functions.hashes import hamming_words, hash_words
-from mullion.functions.text import grouped_digits, p_text
-from mullion.operators import calibration, inference, locks, metrics
+from mullion.functions.text import grouped_digits, p_text, typeset, typeset_row, utc_now
+from mullion.operators import calibration, inference, locks, metrics, reconcile
 from mullion.plans.evaluation import PROBS, R, predictions, runs_of
 from mullion.plans.manifests import rounded, table
 from mullion.scale import Scratch
-from mullion.sources import images, scans, sinks
+from mullion.sources import fetch, images, scans, sinks
 
 QUERIES, SQL = {}, {}
 
@@ -307,3 +307,61 @@ def _(spark, sf):
     """Estimates of the bootstrap's intervals, and whether each lies within its own."""
     b = inference.bca_intervals(metrics.confusion(runs_of(spark, sf), ["run"]), ["run"], 5).where("statistic = 'accuracy'")
     return rounded(b.select("run", "statistic", "estimate", ((F.col("low") <= F.col("estimate")) & (F.col("estimate") <= F.col("high")) & (F.col("low") < F.col("high"))).alias("ordered"), "method"))
+
+
+@query("fetched_files", "select 'n' || n_nationkey || '.txt' as relpath, case when n_nationkey % 5 = 0 then 'kept' when n_nationkey % 5 = 1 then 'resumed' when n_nationkey % 5 = 2 then 'failed' when n_nationkey % 5 = 3 then 'mismatch' else 'fetched' end as outcome from nation")
+def _(spark, sf):
+    """Files fetched from a folder's addresses: some there already, some broken off, some gone, some with another digest."""
+    root = _local(spark)
+    for r in _nations(spark, sf):
+        name, k = f"n{r.n_nationkey}.txt", r.n_nationkey % 5
+        if k != 2:
+            sinks.write_bytes(spark, f"file://{root}/from/{name}", r.n_name.encode())
+        if k < 2:
+            sinks.write_bytes(spark, f"file://{root}/to/{name}" + ".part" * k, r.n_name.encode()[: None if k == 0 else 3])
+    n = table(spark, sf, "nation")
+    rel = F.concat(F.lit("n"), "n_nationkey", F.lit(".txt"))
+    wanted = n.select(F.concat(F.lit(f"file://{root}/from/"), rel).alias("url"), rel.alias("relpath"), F.sha2(F.when(F.col("n_nationkey") % 5 == 3, "other").otherwise(F.col("n_name")), 256).alias("sha256"))
+    return Scratch(spark).keep(fetch.fetch_files(wanted, f"{root}/to", retries=2, backoff=0.0), "fetched")
+
+
+_TEX = "array_to_string([case c when '\\' then '\\textbackslash{{}}' when '~' then '\\textasciitilde{{}}' when '^' then '\\textasciicircum{{}}' when '&' then '\\&' when '%' then '\\%' when '$' then '\\$' when '#' then '\\#' when '_' then '\\_' when '{{' then '\\{{' when '}}' then '\\}}' else c end for c in string_split({0}, '')], '')"
+
+
+@query("typeset_paths", f"select pair_row_id, {_TEX.format('training_relpath')} as text from leakage_plantvillage_vs_plantdoc_pairs")
+def _(spark, sf):
+    return table(spark, sf, "leakage_plantvillage_vs_plantdoc_pairs").select("pair_row_id", typeset(F.col("training_relpath")).alias("text"))
+
+
+@query("typeset_rows", f"select {_TEX.format('p_name')} || ' & ' || {_TEX.format('p_brand')} || ' & ' || p_size || ' \\\\' as line from part")
+def _(spark, sf):
+    return table(spark, sf, "part").select(typeset_row([F.col("p_name"), F.col("p_brand"), F.col("p_size")]).alias("line"))
+
+
+@query("clock_form", "select 20 as digits, true as whole")
+def _(spark, sf):
+    """The form of the present instant; its value is in no result."""
+    now = utc_now()
+    return spark.range(1).select(F.length(now).alias("digits"), now.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("whole"))
+
+
+@query("packet_differences", """select g, p, case when k % 7 = 0 then 'missing' else 'changed' end as outcome, case when k % 7 = 0 then null else 'name' end as field_name from (select n_regionkey as g, n_nationkey as p, n_nationkey as k from nation) where k % 7 = 0 or k % 5 = 1
+union all select n_regionkey, n_nationkey + 1000, 'extra', null from nation where n_nationkey % 11 = 3""")
+def _(spark, sf):
+    """A packet with places left out, added and changed, against what is expected (planted)."""
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("p"), F.col("n_name").alias("name"), "n_regionkey")
+    packet = n.where("p % 7 <> 0").withColumn("name", F.when(F.col("p") % 5 == 1, F.lower("name")).otherwise(F.col("name")))
+    packet = packet.unionAll(n.where("p % 11 = 3").withColumn("p", F.col("p") + 1000))
+    return reconcile.position_differences(n, packet, "g", "p", ["name", "n_regionkey"])
+
+
+WEIGHTS, BIAS = [[((7 * k + 3 * i) % 11 - 5) / 8 for i in range(64)] for k in range(3)], [0.5, 0.0, -0.25]
+_DOT = "[" + ", ".join(f"{b} + list_sum([cast(embedding[i] as double) * {w}[i] for i in range(1, 65)])" for w, b in zip(WEIGHTS, BIAS)) + "]"
+
+
+@query("linear_scores", f"select vec_id, round(s[1], 6) as a, round(s[2], 6) as b, round(s[3], 6) as c, cast(list_position(s, list_max(s)) - 1 as integer) as best from (select vec_id, {_DOT} as s from embeddings where len(embedding) = 64)")
+def _(spark, sf):
+    """Logits of a stored linear model over all vectors, in the plan."""
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    s = table(spark, sf, "embeddings").where(F.size("embedding") == 64).select("vec_id", metrics.linear_logits(values, WEIGHTS, BIAS).alias("s"))
+    return rounded(s.select("vec_id", *[F.col("s")[i].alias(n) for i, n in enumerate("abc")], metrics.first_best(F.col("s")).alias("best")))

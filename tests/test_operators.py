@@ -432,3 +432,22 @@ def test_pairs_outside_and_classes(spark):
     b = spark.createDataFrame([(7, 1, True), (7, 3, False), (8, 1, None), (8, 1, False), (9, None, False)], "id long, h long, inside boolean")
     assert sorted(map(tuple, neardup.pairs_outside(a, b, "inside", 2).collect())) == [(1, 8), (2, 8)]
     assert sorted(map(tuple, neardup.near_classes(a, b, 2).collect())) == [(0, 1, 1, 2, 2), (0, 3, 2, 2, 1)]
+
+
+def test_position_differences(spark):
+    kind = "g string, p int, name string, extra int"
+    a = spark.createDataFrame([("x", 1, "a", 0), ("x", 2, "b", 0), ("x", 3, None, 0), (None, 1, "n", 0), ("y", 1, "c", 0)], kind)
+    b = spark.createDataFrame([("x", 1, "b", 9), ("x", 2, "a", 9), ("x", 3, None, 9), (None, 1, "n", 9), ("y", 1, "c", 9), ("y", 1, "c", 9), ("z", 1, "d", 9)], kind)
+    got = {tuple(r) for r in reconcile.position_differences(a, b, "g", "p", ["name"]).collect()}
+    assert got == {("x", 1, "changed", "name"), ("x", 2, "changed", "name"), ("y", 1, "repeated", None), ("z", 1, "extra", None)}
+    assert reconcile.position_differences(a.limit(0), b.limit(0), "g", "p", ["name"]).isEmpty()
+
+
+def test_typeset_and_linear_models(spark):
+    df = spark.createDataFrame([("a_b & 5% \\\\ {x}~^", [1.0, 2.0]), ("", [1.0]), (None, None)], "t string, v array<double>")
+    got = [r[0] for r in df.select(text.typeset(F.col("t"))).collect()]
+    assert got[0] == "a\\_b \\& 5\\% " + "\\textbackslash{}" * 2 + " \\{x\\}\\textasciitilde{}\\textasciicircum{}" and got[1:] == ["", None]
+    logits = metrics.linear_logits(F.col("v"), [[1, 0], [0, 1], [0, 1]], [0, 0.5, 0.5])
+    assert [tuple(r) for r in df.select(logits, metrics.first_best(logits)).collect()] == [([1.0, 2.5, 2.5], 1), (None, None), (None, None)]
+    with pytest.raises(ValueError):
+        metrics.linear_logits(F.col("v"), [[1], [1, 2]], [0, 0])

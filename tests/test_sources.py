@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mullion.operators import locks
-from mullion.sources import images, scans, sinks
+from mullion.sources import fetch, images, scans, sinks
 from mullion.streaming import windows
 
 
@@ -231,3 +231,48 @@ def test_locks_that_do_not_hold(spark):
         locks.build_lock({"t": spark.range(2)})
     with pytest.raises(PermissionError):
         locks.guarded(spark.sql("select 'pass' as status").limit(0), lambda: None)
+
+
+def test_fetching_over_http(tmp_path):
+    """A server that can and one that can't go on from a byte; parts, changed digests and missing files."""
+    import hashlib
+    import http.server
+    import threading
+
+    data = bytes(range(256)) * 500
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = int(self.headers["Range"][6:-1]) if "Range" in self.headers and self.path == "/ranged" else 0
+            if self.path == "/gone":
+                return self.send_error(404)
+            if at >= len(data):
+                return self.send_error(416)
+            self.send_response(206 if at else 200)
+            self.end_headers()
+            self.wfile.write(data[at:])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, sha = f"http://127.0.0.1:{server.server_port}", hashlib.sha256(data).hexdigest()
+    one = lambda path, at, want=sha: fetch.fetch_one(base + path, str(tmp_path / at), want, 2, 0.0)
+    assert one("/ranged", "a") == "fetched" and one("/ranged", "a") == "kept" and (tmp_path / "a").read_bytes() == data
+    for path in ("/ranged", "/plain"):
+        (tmp_path / "b.part").write_bytes(data[:1000])
+        assert one(path, "b") == "resumed" and (tmp_path / "b").read_bytes() == data
+        (tmp_path / "b").unlink()
+    (tmp_path / "c.part").write_bytes(b"?" * len(data))
+    assert one("/ranged", "c") == "fetched"
+    assert one("/ranged", "d", "0" * 64) == "mismatch" and not (tmp_path / "d").exists() and not (tmp_path / "d.part").exists()
+    assert one("/gone", "e") == "failed"
+    server.shutdown()
+
+
+def test_fetching_stays_in_its_folder(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"x")
+    rows = spark.createDataFrame([(f"file://{tmp_path}/x", "../out", None), (None, "a", None), (f"file://{tmp_path}/x", None, None), (f"file://{tmp_path}/x", "in/x", None)], "url string, relpath string, sha256 string")
+    got = {r.relpath: r.outcome for r in fetch.fetch_files(rows, str(tmp_path / "to"), 1, 0.0).collect()}
+    assert got == {"../out": "failed", "a": "failed", None: "failed", "in/x": "fetched"}
