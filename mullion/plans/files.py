@@ -59,10 +59,10 @@ def _(spark, sf):
     return out
 
 
-@query("nested_results", "select coalesce(model, '-') as model, dataset, seed, round(ece, 9) as ece from table6_calibration_per_seed where model is not null and not isnan(ece)")
+@query("nested_results", "select coalesce(model, '-') as model, dataset, seed, round(ece, 9) as ece from table6_calibration_per_seed where model is not null and ece is not null and not isnan(ece)")
 def _(spark, sf):
     """One JSON document per model (models are few), read and unnested again."""
-    rows = table(spark, sf, "table6_calibration_per_seed").where("model is not null and not isnan(ece)")
+    rows = table(spark, sf, "table6_calibration_per_seed").where("model is not null and ece is not null and not isnan(ece)")
     docs = rows.groupBy("model").agg(F.collect_list(F.struct("dataset", "seed", "ece")).alias("history"))
     texts = docs.select(F.to_json(F.struct("model", "history")).alias("value"), F.xxhash64("model").alias("part"))
     path = f"{Scratch(spark).root}/runs"
