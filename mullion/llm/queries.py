@@ -247,7 +247,7 @@ with recursive p as (select distinct case when l = '' or l = '-1' then null else
 b as (select distinct a.leaf as x, c.leaf as y from p a join p c on a.digest = c.digest where a.leaf is not null and c.leaf is not null),
 r as (select distinct x, x as y from b union select r.x, b.y from r join b on r.y = b.x),
 g as (select x as leaf, min(y) as g from r group by 1),
-m as (select digest, min(coalesce(g, '=' || digest)) as g from (select p.digest, g.g from p left join g on p.leaf = g.leaf) group by 1),
+m as (select digest, coalesce(min(g), '=' || digest) as g from (select p.digest, g.g from p left join g on p.leaf = g.leaf) group by 1),
 s as (select m.g, count(distinct m.digest) as n_digests, count(distinct p.leaf) as n_leaves from m join p on p.digest = m.digest group by 1)
 select digest, n_digests, n_leaves from m join s using (g)""",
 }
