@@ -23,8 +23,10 @@ from mullion.scale import Scratch
 
 #: Documents and characters of a block; a longer document is a block of its own.
 BLOCK_DOCS, BLOCK_CHARS = 1024, 4_000_000
-#: Pieces of texts whose words a task remembers at a time.
-REMEMBERED = 200_000
+#: Pieces of texts whose words a task remembers at a time, and characters of a piece that is worth it.
+REMEMBERED, LONGEST = 200_000, 64
+#: Words, and characters of words, after which a task begins to number them anew.
+NUMBERED, NUMBERED_CHARS = 1_000_000, 50_000_000
 #: Words with at least this share of all positions are joined by broadcast; at most 1 / HOT_SHARE words can have it.
 HOT_SHARE = 0.001
 
@@ -73,54 +75,77 @@ def _cutter() -> Callable[[str], list[str]]:
 
 
 class _Remembered(dict):
-    """A function's values by piece; when there are too many they are forgotten."""
+    """A function's values by piece; long pieces are not kept, and when there are too many all are forgotten."""
 
     def __init__(self, f: Callable):
         super().__init__()
         self.f = f
 
     def __missing__(self, piece: str):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[piece] = self.f(piece)
+        value = self.f(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = value
         return value
 
 
+class _Coder:
+    """Numbers of words, given as they come up, and the numbers of a piece's words."""
+
+    def __init__(self):
+        self.split, self.cut = _splitter(), _cutter()
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.code, self.chars = [], {}, 0
+        # Pieces after the first begin with the blank that the cut left out.
+        self.after = _Remembered(lambda piece: self.coded(" " + piece))
+
+    def coded(self, piece: str) -> list[int]:
+        code, out = self.code, []
+        for w in self.split(piece):
+            c = code.get(w)
+            if c is None:
+                c = code[w] = len(self.words)
+                self.words.append(w)
+                self.chars += len(w)
+            out.append(c)
+        return out
+
+
 _WORDS = pa.schema([("block", pa.int64()), ("word", pa.string()), ("at", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64()))])
 
 
-def _block_rows(block: int, ids: list[int], texts: list[str | None], words_of: _Remembered) -> pa.RecordBatch:
+def _block_rows(block: int, ids: list[int], texts: list[str | None], coder: _Coder) -> pa.RecordBatch:
     """One row per distinct word of the block with its positions, and one frame row with the documents' lengths.
 
     The frame has a null word; its docs are the document ids, its positions the numbers of words of each.
     """
-    code: dict[str, int] = {}
+    if len(coder.words) > NUMBERED or coder.chars > NUMBERED_CHARS:
+        coder.forget()
     all_codes: list[int] = []
-    counts, cut = [], _cutter()
-
-    def coded(piece: str) -> list[int]:
-        return [code.setdefault(w, len(code)) for w in words_of[piece]]
-
-    # Pieces after the first begin with the blank that the cut left out.
-    after = _Remembered(lambda piece: coded(" " + piece))
+    counts, cut, after = [], coder.cut, coder.after.__getitem__
     for text in texts:
         before = len(all_codes)
         if text:
             first, *rest = cut(text)
-            all_codes.extend(coded(first))
-            all_codes.extend(chain.from_iterable(map(after.__getitem__, rest)))
+            all_codes.extend(coder.coded(first))
+            all_codes.extend(chain.from_iterable(map(after, rest)))
         counts.append(len(all_codes) - before)
-    codes = np.asarray(all_codes, dtype=np.int64)
+    codes = np.asarray(all_codes, dtype=np.int32)
     order = np.argsort(codes, kind="stable").astype(np.int32)
-    sizes = np.bincount(codes, minlength=len(code)) if len(code) else np.zeros(0, dtype=np.int64)
-    offsets = np.concatenate(([0], np.cumsum(sizes), [len(codes) + len(ids)])).astype(np.int32)
+    inside = codes[order]
+    starts = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1]))) if len(codes) else np.zeros(0, dtype=np.int64)
+    words = [coder.words[c] for c in inside[starts].tolist()]
+    offsets = np.concatenate((starts, [len(codes), len(codes) + len(ids)])).astype(np.int32)
     at = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate((order, np.asarray(counts, dtype=np.int32)))))
-    docs = pa.ListArray.from_arrays(np.concatenate((np.zeros(len(code) + 1), [len(ids)])).astype(np.int32), pa.array(ids, pa.int64()))
-    return pa.record_batch([pa.array(np.full(len(code) + 1, block)), pa.array([*code, None], pa.string()), at, docs], schema=_WORDS)
+    docs = pa.ListArray.from_arrays(np.concatenate((np.zeros(len(words) + 1), [len(ids)])).astype(np.int32), pa.array(ids, pa.int64()))
+    return pa.record_batch([pa.array(np.full(len(words) + 1, block)), pa.array([*words, None], pa.string()), at, docs], schema=_WORDS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words_of, part = _Remembered(_splitter()), TaskContext.get().partitionId()
+    coder, part = _Coder(), TaskContext.get().partitionId()
     k, ids, texts, chars = 0, [], [], 0
 
     def number() -> int:
@@ -130,13 +155,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             n = len(text or "")
             if ids and (len(ids) >= BLOCK_DOCS or chars + n > BLOCK_CHARS):
-                yield _block_rows(number(), ids, texts, words_of)
+                yield _block_rows(number(), ids, texts, coder)
                 k, ids, texts, chars = k + 1, [], [], 0
             ids.append(i)
             texts.append(text)
             chars += n
     if ids:
-        yield _block_rows(number(), ids, texts, words_of)
+        yield _block_rows(number(), ids, texts, coder)
 
 
 def _encode_words(path: str):
