@@ -255,6 +255,9 @@ def _word_class(word: str) -> str:
 
 
 _WORDS = _Memo(_word_class)
+#: What may belong to a stop before it: closing marks, an apostrophe, further stops, and a blank before a closing «»».
+_AFTER = CLOSERS | set(STOPS) | set("  \u202f\t\n\r\u2009")
+_GAP = re.compile(r"\s+")
 _QUOTES = set("“„«「『｢\"‹»")
 _COMMAS, _DASHES = set(",;:，、：；،؛)]"), set("—–-")
 
@@ -365,7 +368,7 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, tuple]]:
                 out.append((i, ("gap", _SCRIPTS[text[i - 1]], "in" if stack else "", own_stop)))
             continue
         k, closed = j, None
-        while k < b:
+        while k < b and text[k] in _AFTER:
             q, x = k, text[k]
             if x.isspace() and k + 1 < b and text[k + 1] == "»" and k + 1 in opener_of:
                 q += 1
@@ -382,10 +385,9 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, tuple]]:
                 k += 1
             else:
                 break
-        done = k
-        g = k
-        while g < b and text[g].isspace():
-            g += 1
+        done = g = k
+        if k < b and text[k].isspace():
+            g = _GAP.match(text, k, b).end()
         gap = "none" if g == k else "blank"
         run = text[i:j]
         if run == ".":
@@ -542,8 +544,9 @@ def spans(text: str, tagger: Tagger) -> list[tuple[int, int]]:
         places = candidates(text, a, b)
         if places and places[-1][0] >= b:
             places.pop()
-        if places and is_prose(text[a:b]):
-            for (at, _), tag in zip(places, tagger.decode(places)):
+        tags = tagger.decode(places) if places else ()
+        if 1 in tags and is_prose(text[a:b]):
+            for (at, _), tag in zip(places, tags):
                 if tag:
                     while a < at and text[a].isspace():
                         a += 1
