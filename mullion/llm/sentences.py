@@ -47,7 +47,7 @@ _HEAD = re.compile(r"\s*(?:[-*•‣◦▪·#]+|\(?(?:\d+(?:\.\d+)*|[٠-٩]+|[
 _RUN_ON = "ก-ฺเ-๎ກ-ຽເ-ໍໜ-ໟက-ဿၐ-ႏក-៓ៗ-៝"
 _HAN, _KANA = "㐀-䶿一-鿿豈-﫿", "ぁ-ゖゝゞァ-ヺー-ヿｦ-ﾝ"
 _STOP_RUN = re.compile(rf"[{re.escape(STOPS)}]+")
-_MARK = re.compile(rf"[{re.escape(STOPS)}]+|[(（\[【“”„«»「」『』｢｣‹›\")）\]】]")
+_MARK = re.compile(rf"[{re.escape(STOPS)}(（\[【“”„«»「」『』｢｣‹›\")）\]】]")
 _MARK_RUN_ON = re.compile(_MARK.pattern + rf"|(?<=[{_RUN_ON}])\s+(?=[{_RUN_ON}])")
 _HAS_RUN_ON = re.compile(f"[{_RUN_ON}]")
 _HAS_CJK = re.compile(f"[{_HAN}{_KANA}]")
@@ -255,6 +255,9 @@ def _word_class(word: str) -> str:
 
 
 _WORDS = _Memo(_word_class)
+_STOPS = frozenset(STOPS)
+#: What a single stop is.
+_STOP_KINDS = {c: "dots" if c == "…" else "stop" if c in FULL else "!?" if c in ASKING else "." for c in STOPS}
 #: What may belong to a stop before it: closing marks, an apostrophe, further stops, and a blank before a closing «»».
 _AFTER = CLOSERS | set(STOPS) | set("  \u202f\t\n\r\u2009")
 _GAP = re.compile(r"\s+")
@@ -347,29 +350,36 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, tuple]]:
     own_stop = bool(run_on) and any(x in piece for x in "။។៕")
     out: list[tuple[int, tuple]] = []
     stack: list[tuple[str, str, int]] = []
-    done = start
+    done, stops, scripts, kinds = start, _STOPS, _SCRIPTS, _STOP_KINDS
     for m in marks:
-        i, j = m.span()
+        i = m.start()
         if i < done:
             continue
         c = text[i]
-        if c not in STOPS:
+        if c not in stops:
             if i in close_of:
                 k = i - 1
                 while k >= start and text[k].isspace():
                     k -= 1
                 p = text[k] if k >= start else ""
-                begins = not p or p in STOPS or (out and out[-1][0] == k + 1) or (p in CLOSERS and k > start and text[k - 1] in STOPS)
+                begins = not p or p in stops or (out and out[-1][0] == k + 1) or (p in CLOSERS and k > start and text[k - 1] in stops)
                 stack.append((c, "start" if begins else "colon" if p in ":：" else "comma" if p in ",，、،" else "mid", i))
             elif i in opener_of:
                 while stack and stack.pop()[2] != opener_of[i]:
                     pass
             elif c.isspace():
-                out.append((i, ("gap", _SCRIPTS[text[i - 1]], "in" if stack else "", own_stop)))
+                out.append((i, ("gap", scripts[text[i - 1]], "in" if stack else "", own_stop)))
             continue
+        j = i + 1
+        x = text[j] if j < b else " "
+        if c == "." and x.isdigit() and i > start and (text[i - 1].isdigit() or text[i - 1] == " "):
+            continue  # within a number
+        while x in stops:
+            j += 1
+            x = text[j] if j < b else " "
         k, closed = j, None
-        while k < b and text[k] in _AFTER:
-            q, x = k, text[k]
+        while k < b and x in _AFTER:
+            q = k
             if x.isspace() and k + 1 < b and text[k + 1] == "»" and k + 1 in opener_of:
                 q += 1
             if q in opener_of:
@@ -379,25 +389,24 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, tuple]]:
                     if closed[2] == o:
                         break
                 k = q + 1
-            elif closed and x in STOPS:
+            elif closed and x in stops:
                 k += 1
             elif x in "’'" and not (k + 1 < b and text[k + 1].isalpha()):
                 k += 1
             else:
                 break
+            x = text[k] if k < b else " "
         done = g = k
-        if k < b and text[k].isspace():
-            g = _GAP.match(text, k, b).end()
+        if k < b and x.isspace():
+            g = k + 1
+            while g < b and text[g].isspace():
+                g += 1
         gap = "none" if g == k else "blank"
-        run = text[i:j]
-        if run == ".":
-            kind = "."
-            if g == k and not closed and i > start and k < b and text[k].isdigit() and (text[i - 1].isdigit() or text[i - 1] == " "):
-                continue  # within a number
-        elif run[0] == "…" or (len(run) > 1 and run.strip(".") == ""):
-            kind = "dots"
+        if j == i + 1:
+            kind = kinds[c]
         else:
-            kind = "stop" if run[-1] in FULL else "!?" if run[-1] in ASKING else "."
+            run = text[i:j]
+            kind = "dots" if run[0] == "…" or run.strip(".") == "" else kinds[run[-1]].replace("dots", ".")
         follows = _follows(text, g, b, close_of)
         if follows == "l*" and not low:
             follows = "l"
@@ -410,8 +419,7 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, tuple]]:
             tok = tok.group() if tok else ""
         at = len(left) - len(tok)
         tc = _TOKENS[tok] if tok else "closed" if left and left[-1] in CLOSERS else "none"
-        script = _SCRIPTS[left[-1]] if left else "none"
-        before = ""
+        script, before = scripts[left[-1]] if left else "none", ""
         if kind == "dots" and script == "cjk" and "ぁ" <= left[-1] <= "ん":
             tc = f"kana {left[-1]}"
         if kind == "." and tok and len(tok) <= 8:
