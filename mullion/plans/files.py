@@ -42,7 +42,7 @@ def _(spark, sf):
     return scans.read_strings(spark, path, ["note", "relpath"])
 
 
-@query("csv_manifest", "select dataset, split, class_label, relpath, sha256, width, height, mode, n_bytes, is_corrupt, source_url, acquired_at_utc from (select coalesce(dataset, '') as dataset, coalesce(split, '') as split, coalesce(class_label, '') as class_label, coalesce(relpath, '') as relpath, coalesce(sha256, '') as sha256, width, height, coalesce(mode, '') as mode, n_bytes, is_corrupt, coalesce(source_url, '') as source_url, cast(acquired_at_utc as timestamp) as acquired_at_utc from plantvillage)")
+@query("csv_manifest", "select dataset, split, class_label, relpath, sha256, width, height, mode, n_bytes, is_corrupt, source_url, acquired_at_utc from (select coalesce(dataset, '') as dataset, coalesce(split, '') as split, coalesce(class_label, '') as class_label, coalesce(relpath, '') as relpath, coalesce(sha256, '') as sha256, width, height, coalesce(mode, '') as mode, n_bytes, is_corrupt, coalesce(source_url, '') as source_url, acquired_at_utc from plantvillage)")
 def _(spark, sf):
     names = [f.name for f in scans.MANIFEST.fields]
     m = table(spark, sf, "plantvillage").select(*[F.col(c).cast("string").alias(c) for c in names])
@@ -150,8 +150,8 @@ def _(spark, sf):
     return spark.createDataFrame([(held["lock_digest"], bool(locks.lock_problems(held, lock)), locks.lock_problems(held, other) == ["facts.regions"])], "lock_digest string, broken boolean, found_change boolean")
 
 
-@query("bound_gate", """with c as (select count(*) as p from cross_dataset_near_duplicate_review where human_decision is null or trim(human_decision) = ''), s as (select 1 as n_checks, p as n_problems from c)
-select x.input, n_checks, cast(n_problems as bigint) as n_problems, case when x.input = 'same' then 0 else 1 end as n_changes, case when x.input <> 'same' then 'stale' when n_problems > 0 then 'fail' else 'pass' end as status from s, (values ('same'), ('changed'), ('absent')) x(input)""")
+@query("bound_gate", """with c as (select count(*) as p from cross_dataset_near_duplicate_review where human_decision is null or trim(human_decision) = ''), s as (select cast(1 as bigint) as n_checks, p as n_problems from c)
+select x.input, n_checks, cast(n_problems as bigint) as n_problems, cast(case when x.input = 'same' then 0 else 1 end as bigint) as n_changes, case when x.input <> 'same' then 'stale' when n_problems > 0 then 'fail' else 'pass' end as status from s, (values ('same'), ('changed'), ('absent')) x(input)""")
 def _(spark, sf):
     """One gate over undecided reviews, with its input as bound, changed, and gone."""
     root = Scratch(spark).root
