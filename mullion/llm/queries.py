@@ -237,7 +237,7 @@ with k as (select 'plantvillage' as table_name, trim(regexp_replace(lower(leaf_i
   union all select 'table6_calibration_per_seed', trim(regexp_replace(lower(dataset), '[\\s\\x{{00A0}}\\x{{3000}}]+', ' ', 'g')), {_SPLIT} from table6_calibration_per_seed)
 select table_name, group_key from k where group_key <> '' and not (table_name = 'plantvillage' and group_key = '-1') group by 1, 2 having count(distinct s) > 1""",
     "p6_round_trip": "select doc_id, true as same from documents",
-    "p7_checks": "select spec_id, (select count(distinct doc_id) from documents) as n_docs, 0 as n_over, 0 as n_split from container_specs",
+    "p7_checks": "select spec_id, (select count(distinct doc_id) from documents) as n_docs, cast(0 as bigint) as n_over, cast(0 as bigint) as n_split from container_specs",
     "p5_balance": """
 with k as (select 'plantvillage' as table_name, trim(regexp_replace(lower(leaf_id), '[\\s\\x{00A0}\\x{3000}]+', ' ', 'g')) as k, 'row|' || record_id as own from plantvillage
   union all select 'table6_calibration_per_seed', trim(regexp_replace(lower(dataset), '[\\s\\x{00A0}\\x{3000}]+', ' ', 'g')), 'row|' || concat_ws('|', model, setting, seed) from table6_calibration_per_seed)
