@@ -42,11 +42,12 @@ def _(spark, sf):
     return scans.read_strings(spark, path, ["note", "relpath"])
 
 
-@query("csv_manifest", "select dataset, split, class_label, relpath, sha256, width, height, mode, n_bytes, is_corrupt, source_url, acquired_at_utc from (select coalesce(dataset, '') as dataset, coalesce(split, '') as split, coalesce(class_label, '') as class_label, coalesce(relpath, '') as relpath, coalesce(sha256, '') as sha256, width, height, coalesce(mode, '') as mode, n_bytes, is_corrupt, coalesce(source_url, '') as source_url, acquired_at_utc from plantvillage)")
+@query("csv_manifest", "select dataset, split, class_label, relpath, sha256, width, height, mode, n_bytes, is_corrupt, source_url, acquired_us from (select coalesce(dataset, '') as dataset, coalesce(split, '') as split, coalesce(class_label, '') as class_label, coalesce(relpath, '') as relpath, coalesce(sha256, '') as sha256, width, height, coalesce(mode, '') as mode, n_bytes, is_corrupt, coalesce(source_url, '') as source_url, epoch_us(acquired_at_utc) as acquired_us from plantvillage)")
 def _(spark, sf):
     names = [f.name for f in scans.MANIFEST.fields]
     m = table(spark, sf, "plantvillage").select(*[F.col(c).cast("string").alias(c) for c in names])
-    return scans.read_manifest(spark, sinks.write_table(m, f"{Scratch(spark).root}/manifest", "csv"))
+    back = scans.read_manifest(spark, sinks.write_table(m, f"{Scratch(spark).root}/manifest", "csv"))
+    return back.withColumn("acquired_us", F.unix_micros("acquired_at_utc")).drop("acquired_at_utc")
 
 
 @query("table_formats", "select kind, review_row_id, human_decision, reviewer from (values ('parquet'), ('orc'), ('json')) k(kind), cross_dataset_near_duplicate_review")
